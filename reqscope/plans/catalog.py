@@ -133,3 +133,346 @@ FROM skel k LEFT JOIN counts c USING (dataset, label, col, bin)""",
 def q_length_histogram(spark, sf_dir):
     """Word and character length histograms by class, 30 bins."""
     return rounded(profile.length_histogram(profile.with_lengths(fixtures.requirements_plain(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- step 2: lexicon
+from ..operators import lexicon  # noqa: E402
+from ..functions.text import mask_triggers, parse_reasons, remove_triggers, word_len as _wl  # noqa: E402,F401
+
+
+@register("requirements", f"WITH {S.REQ}\nSELECT req_id, dataset, requirement_text, label, reasons FROM req")
+def q_requirements(spark, sf_dir):
+    """Labelled rows with lexicon terms and the reasons list."""
+    return fixtures.requirements(spark, sf_dir)
+
+
+@register(
+    "trigger_matches",
+    f"""WITH {S.REQ}
+SELECT req_id, term FROM (SELECT req_id, unnest(string_split(reasons, ',')) AS term FROM req WHERE reasons IS NOT NULL) t""",
+)
+def q_trigger_matches(spark, sf_dir):
+    """H14 exploded: one row per (row, matched term)."""
+    return lexicon.trigger_matches(fixtures.requirements(spark, sf_dir))
+
+
+@register("masked_text", f"WITH {S.REQ}\nSELECT req_id, {S.mask_sql('requirement_text')} AS masked_text FROM req")
+def q_masked_text(spark, sf_dir):
+    """H4: trigger terms masked in list order."""
+    return fixtures.requirements(spark, sf_dir).select("req_id", mask_triggers("requirement_text").alias("masked_text"))
+
+
+@register("removed_text", f"WITH {S.REQ}\nSELECT req_id, {S.remove_sql('requirement_text')} AS removed_text FROM req")
+def q_removed_text(spark, sf_dir):
+    """H5: trigger terms removed, whitespace collapsed."""
+    return fixtures.requirements(spark, sf_dir).select("req_id", remove_triggers("requirement_text").alias("removed_text"))
+
+
+@register(
+    "text_variants",
+    f"""WITH {S.REQ}
+SELECT req_id, 'original' AS variant, requirement_text AS scored_text, CAST({S.word_len_sql('requirement_text')} AS INTEGER) AS word_len FROM req
+UNION ALL SELECT req_id, 'masked_triggers', {S.mask_sql('requirement_text')}, CAST({S.word_len_sql(S.mask_sql('requirement_text'))} AS INTEGER) FROM req
+UNION ALL SELECT req_id, 'removed_triggers', {S.remove_sql('requirement_text')}, CAST({S.word_len_sql(S.remove_sql('requirement_text'))} AS INTEGER) FROM req""",
+)
+def q_text_variants(spark, sf_dir):
+    """G3u: original / masked / removed test text in one pass."""
+    v = lexicon.text_variants(fixtures.requirements(spark, sf_dir))
+    return v.select("req_id", "variant", "scored_text", _wl("scored_text").alias("word_len"))
+
+
+MESSY_REASONS_SQL = "concat(' ', replace(reasons, ',', ' ,, '), ' ,')"
+
+
+@register(
+    "reason_items",
+    f"""WITH {S.REQ},
+parsed AS (SELECT req_id, {S.parse_reasons_sql(MESSY_REASONS_SQL)} AS items FROM req)
+SELECT req_id, CAST(pos AS INTEGER) AS pos, items[pos] AS reason
+FROM (SELECT req_id, items, generate_subscripts(items, 1) AS pos FROM parsed) t""",
+)
+def q_reason_items(spark, sf_dir):
+    """H3: parse a padded comma list (blanks, empty items) into ordered items."""
+    req = fixtures.requirements(spark, sf_dir).withColumn("reasons", F.expr(MESSY_REASONS_SQL.replace("concat", "concat")))
+    return lexicon.reason_items(req).select("req_id", F.col("pos").cast("int").alias("pos"), "reason")
+
+
+REASON_COUNTS_SQL = f"""WITH {S.REQ},
+items AS (SELECT dataset, unnest({S.parse_reasons_sql('reasons')}) AS reason FROM req),
+counts AS (SELECT dataset, reason, count(*) AS cnt FROM items GROUP BY dataset, reason)"""
+
+
+@register("reason_counts", REASON_COUNTS_SQL + "\nSELECT dataset, reason, cnt FROM counts")
+def q_reason_counts(spark, sf_dir):
+    """Reason frequency per dataset."""
+    return lexicon.reason_counts(fixtures.requirements(spark, sf_dir))
+
+
+@register(
+    "distinct_reasons",
+    f"WITH {S.REQ}\nSELECT DISTINCT unnest({S.parse_reasons_sql('reasons')}) AS reason FROM req",
+)
+def q_distinct_reasons(spark, sf_dir):
+    """Sorted distinct reasons."""
+    return lexicon.distinct_reasons(fixtures.requirements(spark, sf_dir))
+
+
+@register(
+    "top_reasons",
+    REASON_COUNTS_SQL
+    + """
+SELECT dataset, reason, cnt, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cnt DESC, reason) AS rank FROM counts) t
+WHERE rank <= 12""",
+)
+def q_top_reasons(spark, sf_dir):
+    """Top 12 reasons per dataset."""
+    return lexicon.top_reasons(lexicon.reason_counts(fixtures.requirements(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- steps 3-4: evaluation, summaries
+from ..constants import (  # noqa: E402
+    ABLATION_COMPACT_MODELS, COMPARISON_MODELS, DISPLAY_NAME, FINAL_TRANSFORMER_MODELS, KEY3, KEY4, METRICS,
+    MODEL_ORDER, TRANSFORMER_MODELS,
+)
+from ..operators import evaluate, ranking  # noqa: E402
+
+KEY3_SQL, KEY4_SQL = ", ".join(KEY3), ", ".join(KEY4)
+CLASSICAL = list(fixtures.CLASSICAL_CUTS)
+NEURAL = list(fixtures.NEURAL_CUTS)
+MODEL_DIM_SQL = "(VALUES " + ", ".join(
+    f"({S._sql_str(m)}, {i}, {S._sql_str(DISPLAY_NAME.get(m, m))})" for i, m in enumerate(MODEL_ORDER)
+) + ") AS md(model, model_order, display)"
+
+
+def _results(spark, sf_dir):
+    return evaluate.run_results(fixtures.instances(spark, sf_dir))
+
+
+def _summary(spark, sf_dir, models=None, by_variant=False):
+    res = _results(spark, sf_dir)
+    if models is not None:
+        res = ranking.filter_models(res, models)
+    if by_variant:
+        return ranking.summarize(res, ["setting", "variant", "train_dataset", "test_dataset", "model"])
+    return ranking.summarize(ranking.original_only(res))
+
+
+@register(
+    "instances",
+    f"WITH {S.INSTANCES}\nSELECT setting, variant, train_dataset, test_dataset, model, seed, req_id, y_true, y_pred, reasons FROM instances",
+)
+def q_instances(spark, sf_dir):
+    """Prediction rows of the pseudo-model grid (text column left out of the check)."""
+    return fixtures.instances(spark, sf_dir).drop("text")
+
+
+@register("run_results", f"WITH {S.RESULTS}\nSELECT {S.RUN_KEYS}, {S.round_cols(METRICS)}, tn, fp, fn, tp, n_test FROM results")
+def q_run_results(spark, sf_dir):
+    """D3a confusion counts + D4a-g metrics per run."""
+    return rounded(_results(spark, sf_dir))
+
+
+@register(
+    "confusion_cells",
+    f"""WITH {S.RESULTS}
+SELECT {S.RUN_KEYS}, true_label, pred_label, cnt FROM (
+  SELECT {S.RUN_KEYS}, 0 AS true_label, 0 AS pred_label, tn AS cnt FROM results UNION ALL
+  SELECT {S.RUN_KEYS}, 0, 1, fp FROM results UNION ALL
+  SELECT {S.RUN_KEYS}, 1, 0, fn FROM results UNION ALL
+  SELECT {S.RUN_KEYS}, 1, 1, tp FROM results) t WHERE seed = 42""",
+)
+def q_confusion_cells(spark, sf_dir):
+    """J4 + I15: 2x2 cells for the seed-42 runs."""
+    conf = evaluate.confusion(fixtures.instances(spark, sf_dir).where(F.col("seed") == 42), evaluate.RUN_KEYS)
+    return evaluate.confusion_cells(conf, evaluate.RUN_KEYS)
+
+
+def _report_sql():
+    tn, fp, fn, tp = ("CAST(tn AS DOUBLE)", "CAST(fp AS DOUBLE)", "CAST(fn AS DOUBLE)", "CAST(tp AS DOUBLE)")
+
+    def div(a, b):
+        return f"coalesce(({a}) / nullif({b}, 0), 0.0)"
+
+    p0, r0, f0, s0 = div(tn, f"{tn} + {fn}"), div(tn, f"{tn} + {fp}"), div(f"2 * {tn}", f"2 * {tn} + {fn} + {fp}"), f"({tn} + {fp})"
+    p1, r1, f1, s1 = div(tp, f"{tp} + {fp}"), div(tp, f"{tp} + {fn}"), div(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}"), f"({tp} + {fn})"
+    n = f"({s0} + {s1})"
+    parts = [
+        ("'clear'", p0, r0, f0, s0),
+        ("'ambiguous'", p1, r1, f1, s1),
+        ("'accuracy'", "NULL", "NULL", div(f"{tp} + {tn}", n), n),
+        ("'macro avg'", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
+        ("'weighted avg'", div(f"{p0} * {s0} + {p1} * {s1}", n), div(f"{r0} * {s0} + {r1} * {s1}", n), div(f"{f0} * {s0} + {f1} * {s1}", n), n),
+    ]
+    sel = " UNION ALL ".join(
+        f"SELECT {S.RUN_KEYS}, {rn} AS row_name, round(CAST({p} AS DOUBLE), 4) AS precision, round(CAST({r} AS DOUBLE), 4) AS recall, "
+        f"round(CAST({f} AS DOUBLE), 4) AS f1, CAST({s} AS BIGINT) AS support FROM runs WHERE seed = 42"
+        for rn, p, r, f, s in parts
+    )
+    return f"WITH {S.RESULTS}\n{sel}"
+
+
+@register("classification_report", _report_sql())
+def q_classification_report(spark, sf_dir):
+    """D5a + I15: per-class report rows for the seed-42 runs."""
+    conf = evaluate.confusion(fixtures.instances(spark, sf_dir).where(F.col("seed") == 42), evaluate.RUN_KEYS)
+    return evaluate.classification_report(conf, evaluate.RUN_KEYS)
+
+
+@register(
+    "reason_performance",
+    f"""WITH {S.INSTANCES},
+ex AS (SELECT {KEY4_SQL}, y_true, y_pred, unnest(list_distinct({S.parse_reasons_sql('reasons')})) AS reason
+       FROM instances WHERE variant = 'original'),
+conf AS (SELECT {KEY4_SQL}, reason, {S.confusion_sql()}, count(*) AS n FROM ex GROUP BY ALL)
+SELECT {KEY4_SQL}, reason, n, {S.metrics_sql()} FROM conf""",
+)
+def q_reason_performance(spark, sf_dir):
+    """D7a/T5 + C6: per-reason metrics over the original-text runs, all seeds pooled."""
+    inst = ranking.original_only(fixtures.instances(spark, sf_dir))
+    return rounded(evaluate.reason_performance(inst))
+
+
+SUMMARY_SQL = f"""summary AS ({S.summary_select(KEY4_SQL)} FROM results WHERE variant = 'original' GROUP BY {KEY4_SQL})"""
+
+
+@register("summary", f"WITH {S.RESULTS},\n{SUMMARY_SQL}\nSELECT {KEY4_SQL}, {S.round_cols(S.SUMMARY_COLS)} FROM summary")
+def q_summary(spark, sf_dir):
+    """Multi-seed mean/std per (setting, datasets, model), original text."""
+    return rounded(_summary(spark, sf_dir))
+
+
+VKEYS = "setting, variant, train_dataset, test_dataset, model"
+
+
+@register(
+    "summary_by_variant",
+    f"""WITH {S.RESULTS},
+summary AS ({S.summary_select(VKEYS)} FROM results GROUP BY {VKEYS})
+SELECT {VKEYS}, {S.round_cols(S.SUMMARY_COLS)} FROM summary""",
+)
+def q_summary_by_variant(spark, sf_dir):
+    """D6a by text variant."""
+    return rounded(_summary(spark, sf_dir, by_variant=True))
+
+
+TOP3_SQL = f"""SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY {KEY3_SQL} ORDER BY f1_mean DESC NULLS LAST, model) AS INTEGER) AS rank
+  FROM {{src}} WHERE setting IS NOT NULL AND train_dataset IS NOT NULL AND test_dataset IS NOT NULL) t WHERE rank <= 3"""
+
+
+@register(
+    "top3_by_setting",
+    f"""WITH {S.RESULTS},
+{SUMMARY_SQL.replace("WHERE variant = 'original'", f"WHERE variant = 'original' AND model IN {S.in_list(CLASSICAL)}")},
+top AS ({TOP3_SQL.format(src='summary')})
+SELECT {KEY4_SQL}, {S.round_cols(S.SUMMARY_COLS)}, rank FROM top""",
+)
+def q_top3_by_setting(spark, sf_dir):
+    """Three best classical models per setting by mean F1."""
+    return rounded(ranking.top_k(_summary(spark, sf_dir, models=CLASSICAL)))
+
+
+PAPER_COLS = KEY4 + ["model_display"] + S.SUMMARY_COLS + ["model_order"]
+PAPER_SQL = f"""WITH {S.RESULTS},
+{SUMMARY_SQL},
+paper AS (SELECT s.*, coalesce(md.display, s.model) AS model_display, md.model_order
+          FROM summary s LEFT JOIN {MODEL_DIM_SQL} USING (model))"""
+
+
+def _paper(spark, sf_dir):
+    classical = _summary(spark, sf_dir, models=CLASSICAL)
+    neural = _summary(spark, sf_dir, models=NEURAL)
+    return ranking.paper_summary(classical, neural)
+
+
+def _paper_select(where: str = "") -> str:
+    cols = ", ".join(c if c not in S.SUMMARY_COLS else f"round({c}, 6) AS {c}" for c in PAPER_COLS)
+    return f"{PAPER_SQL}\nSELECT {cols} FROM paper {where}"
+
+
+@register("paper_summary", _paper_select())
+def q_paper_summary(spark, sf_dir):
+    """E2/T9 + G2 + B5 + B6: classical and transformer summaries unified and ordered."""
+    return rounded(_paper(spark, sf_dir))
+
+
+@register(
+    "best_models_by_setting",
+    f"""{PAPER_SQL},
+top AS ({TOP3_SQL.format(src='paper')})
+SELECT {", ".join(c if c not in S.SUMMARY_COLS else f"round({c}, 6) AS {c}" for c in PAPER_COLS)}, rank FROM top""",
+)
+def q_best_models(spark, sf_dir):
+    """E1 over the unified summary: three best models per setting."""
+    return rounded(ranking.top_k(_paper(spark, sf_dir)))
+
+
+for _name, _models, _doc in [
+    ("transformer_summary_table", TRANSFORMER_MODELS, "B4: transformer rows of the unified summary."),
+    ("final_transformer_table", FINAL_TRANSFORMER_MODELS, "B4: final transformer table (collapsed model left out)."),
+    ("compact_comparison_table", COMPARISON_MODELS, "B4: classical vs best transformers."),
+]:
+    def _mk(models, doc):
+        def fn(spark, sf_dir):
+            return rounded(ranking.filter_models(_paper(spark, sf_dir), models))
+        fn.__doc__ = doc
+        return fn
+    register(_name, _paper_select(f"WHERE model IN {S.in_list(_models)}"))(_mk(_models, _doc))
+
+
+ABL_SQL = f"""WITH {S.RESULTS},
+summary AS ({S.summary_select(VKEYS)} FROM results WHERE model IN {S.in_list(CLASSICAL)} GROUP BY {VKEYS})
+SELECT {VKEYS}, {S.round_cols(S.SUMMARY_COLS)}, coalesce(md.display, s.model) AS model_display
+FROM summary s LEFT JOIN {MODEL_DIM_SQL} USING (model)"""
+
+
+def _ablation(spark, sf_dir):
+    s = _summary(spark, sf_dir, models=CLASSICAL, by_variant=True)
+    return rounded(ranking.with_display(s).drop("model_order"))
+
+
+@register("ablation_table", ABL_SQL)
+def q_ablation_table(spark, sf_dir):
+    """Classical summary by variant with display names."""
+    return _ablation(spark, sf_dir)
+
+
+@register("ablation_compact", ABL_SQL + f"\nWHERE model IN {S.in_list(ABLATION_COMPACT_MODELS)}")
+def q_ablation_compact(spark, sf_dir):
+    """J7 + B4: ablation rows of three named classical models."""
+    return ranking.filter_models(_ablation(spark, sf_dir), ABLATION_COMPACT_MODELS)
+
+
+@register(
+    "metric_bars",
+    f"""{PAPER_SQL}
+SELECT {KEY3_SQL}, model, metric, round(mean, 6) AS mean, round(std, 6) AS std FROM (
+  SELECT {KEY3_SQL}, model, 'f1' AS metric, f1_mean AS mean, f1_std AS std FROM paper UNION ALL
+  SELECT {KEY3_SQL}, model, 'mcc', mcc_mean, mcc_std FROM paper UNION ALL
+  SELECT {KEY3_SQL}, model, 'cohen_kappa', cohen_kappa_mean, cohen_kappa_std FROM paper) t""",
+)
+def q_metric_bars(spark, sf_dir):
+    """J5 + F2: bar data (f1, mcc, kappa) per setting, sorted by mean."""
+    return rounded(ranking.metric_bars(_paper(spark, sf_dir)))
+
+
+def _pivot_sql():
+    cols = ", ".join(
+        f"round(max(CASE WHEN model_display = {S._sql_str(DISPLAY_NAME[m])} THEN f1 END), 6) AS \"{DISPLAY_NAME[m]}\""
+        for m in MODEL_ORDER
+    )
+    return f"""WITH {S.INSTANCES},
+ex AS (SELECT {KEY4_SQL}, y_true, y_pred, unnest(list_distinct({S.parse_reasons_sql('reasons')})) AS reason
+       FROM instances WHERE variant = 'original'),
+conf AS (SELECT {KEY4_SQL}, reason, {S.confusion_sql()}, count(*) AS n FROM ex GROUP BY ALL),
+perf AS (SELECT {KEY4_SQL}, reason, {S.metrics_sql(digits=None)} FROM conf),
+named AS (SELECT p.*, coalesce(md.display, p.model) AS model_display FROM perf p LEFT JOIN {MODEL_DIM_SQL} USING (model))
+SELECT {KEY3_SQL}, reason, {cols} FROM named GROUP BY {KEY3_SQL}, reason"""
+
+
+@register("reason_heatmap", _pivot_sql())
+def q_reason_heatmap(spark, sf_dir):
+    """Reason x model F1 matrix per setting."""
+    inst = ranking.original_only(fixtures.instances(spark, sf_dir))
+    return rounded(ranking.reason_pivot(evaluate.reason_performance(inst)))

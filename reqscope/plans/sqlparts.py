@@ -125,7 +125,7 @@ def confusion_sql(t: str = "y_true", p: str = "y_pred") -> str:
     )
 
 
-def metrics_sql(prefix: str = "", digits: int = 6) -> str:
+def metrics_sql(prefix: str = "", digits: int | None = 6) -> str:
     """The seven metrics from tn/fp/fn/tp columns (as DOUBLE), rounded."""
     tn, fp, fn, tp = (f"CAST({prefix}{c} AS DOUBLE)" for c in ("tn", "fp", "fn", "tp"))
     n = f"({tn} + {fp} + {fn} + {tp})"
@@ -147,7 +147,35 @@ def metrics_sql(prefix: str = "", digits: int = 6) -> str:
         "mcc": mcc,
         "cohen_kappa": kappa,
     }
+    if digits is None:
+        return ", ".join(f"CAST({e} AS DOUBLE) AS {m}" for m, e in exprs.items())
     return ", ".join(f"round(CAST({e} AS DOUBLE), {digits}) AS {m}" for m, e in exprs.items())
 
 
 METRIC_NAMES = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "mcc", "cohen_kappa"]
+
+
+RUN_KEYS = "setting, variant, train_dataset, test_dataset, model, seed"
+
+RESULTS = (
+    INSTANCES
+    + f""",
+runs AS (SELECT {RUN_KEYS}, {confusion_sql()}, count(*) AS n FROM instances GROUP BY {RUN_KEYS}),
+results AS (SELECT {RUN_KEYS}, {metrics_sql(digits=None)}, tn, fp, fn, tp, n AS n_test FROM runs)"""
+)
+
+
+def summary_select(keys: str) -> str:
+    aggs = ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std" for m in METRIC_NAMES)
+    return f"SELECT {keys}, {aggs}"
+
+
+def in_list(names) -> str:
+    return "(" + ", ".join(_sql_str(n) for n in names) + ")"
+
+
+def round_cols(cols) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+SUMMARY_COLS = [f"{m}_{s}" for m in METRIC_NAMES for s in ("mean", "std")]
