@@ -476,3 +476,132 @@ def q_reason_heatmap(spark, sf_dir):
     """Reason x model F1 matrix per setting."""
     inst = ranking.original_only(fixtures.instances(spark, sf_dir))
     return rounded(ranking.reason_pivot(evaluate.reason_performance(inst)))
+
+
+# ---------------------------------------------------------------- step 5: significance
+from itertools import combinations  # noqa: E402
+
+from ..constants import ENCODER_ORDER, ENCODER_SHORT_NAMES, SIGNIFICANCE_SETTINGS  # noqa: E402
+from ..operators import significance  # noqa: E402
+
+
+def _t_p_sql(t: str, v: str) -> str:
+    th = f"atan(abs({t}) / sqrt({v}))"
+    cos2 = f"(cos({th}) * cos({th}))"
+    even = (f"coalesce(list_sum(list_transform(range({v} // 2), lambda k: pow({cos2}, k) * "
+            f"coalesce(list_product(list_transform(range(k), lambda j: (2 * j + 1) / (2 * j + 2))), 1.0))), 0.0)")
+    odd = (f"coalesce(list_sum(list_transform(range(({v} - 1) // 2), lambda k: cos({th}) * pow({cos2}, k) * "
+           f"coalesce(list_product(list_transform(range(k), lambda j: (2 * j + 2) / (2 * j + 3))), 1.0))), 0.0)")
+    a = (f"CASE WHEN {v} = 1 THEN 2 * {th} / pi() WHEN {v} % 2 = 0 THEN sin({th}) * {even} "
+         f"ELSE 2 / pi() * ({th} + sin({th}) * {odd}) END")
+    return f"greatest(0.0, least(1.0, 1 - ({a})))"
+
+
+def _vals_sql(where: str) -> str:
+    return f"""vals AS (SELECT {KEY3_SQL}, seed, model, avg(f1) AS v FROM results
+  WHERE {where} AND setting IS NOT NULL AND train_dataset IS NOT NULL AND test_dataset IS NOT NULL AND seed IS NOT NULL
+  GROUP BY {KEY3_SQL}, seed, model HAVING avg(f1) IS NOT NULL)"""
+
+
+PAIR_JOIN = ("x.setting = y.setting AND x.train_dataset = y.train_dataset AND x.test_dataset = y.test_dataset "
+             "AND x.seed = y.seed")
+
+T_SQL = f"""WITH {S.RESULTS},
+{_vals_sql(f"variant = 'original' AND model IN {S.in_list(CLASSICAL)}")},
+pairs AS (SELECT x.setting, x.train_dataset, x.test_dataset, x.model AS model_a, y.model AS model_b,
+                 x.v AS a, y.v AS b, x.v - y.v AS d
+          FROM vals x JOIN vals y ON {PAIR_JOIN} AND x.model < y.model),
+agg AS (SELECT {KEY3_SQL}, model_a, model_b, count(*) AS n_pairs, avg(a) AS mean_a, avg(b) AS mean_b,
+               avg(d) AS mean_d, stddev_samp(d) AS sd_d, min(d) AS min_d, max(d) AS max_d
+        FROM pairs GROUP BY ALL HAVING count(*) >= 2)
+SELECT {KEY3_SQL}, 'f1' AS metric, model_a, model_b, n_pairs, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b,
+       round(CASE WHEN min_d = max_d THEN (CASE WHEN mean_d <> 0 THEN 0.0 END)
+             ELSE {_t_p_sql('(mean_d / (sd_d / sqrt(n_pairs)))', '(n_pairs - 1)')} END, 6) AS pvalue
+FROM agg"""
+
+
+def _classical_original(spark, sf_dir):
+    return ranking.original_only(ranking.filter_models(_results(spark, sf_dir), CLASSICAL))
+
+
+@register("paired_t_tests", T_SQL)
+def q_paired_t_tests(spark, sf_dir):
+    """E3/T6 + C2 + D10a + D11a: classical paired t-tests on F1 over seeds."""
+    return rounded(significance.paired_t_tests(_classical_original(spark, sf_dir), "f1", models=CLASSICAL))
+
+
+def _wilcoxon_sql(with_table: bool = False) -> str:
+    short = "(VALUES " + ", ".join(f"({S._sql_str(v)}, {S._sql_str(k)})" for k, v in ENCODER_SHORT_NAMES.items()) + ") AS sn(model, short)"
+    pairs = list(combinations(ENCODER_ORDER, 2))
+    skel = "(VALUES " + ", ".join(
+        f"({S._sql_str(s)}, {S._sql_str(tr)}, {S._sql_str(te)}, {S._sql_str(lab)}, {si}, {S._sql_str(a)}, {S._sql_str(b)}, {pi})"
+        for si, (s, tr, te, lab) in enumerate(SIGNIFICANCE_SETTINGS) for pi, (a, b) in enumerate(pairs)
+    ) + ") AS sk(setting, train_dataset, test_dataset, setting_label, setting_order, model_a, model_b, pair_order)"
+    pdim = "(VALUES " + ", ".join(f"({S._sql_str(a)}, {S._sql_str(b)})" for a, b in pairs) + ") AS pd(model_a, model_b)"
+    grp = f"{KEY3_SQL}, model_a, model_b"
+    body = f"""WITH {S.RESULTS},
+named AS (SELECT r.setting, r.train_dataset, r.test_dataset, r.seed, sn.short AS model, r.f1
+          FROM results r JOIN {short} USING (model)),
+vals AS (SELECT {KEY3_SQL}, seed, model, avg(f1) AS v FROM named
+  WHERE setting IS NOT NULL AND train_dataset IS NOT NULL AND test_dataset IS NOT NULL AND seed IS NOT NULL
+  GROUP BY {KEY3_SQL}, seed, model HAVING avg(f1) IS NOT NULL),
+pairs AS (SELECT x.setting, x.train_dataset, x.test_dataset, pd.model_a, pd.model_b, x.v AS a, y.v AS b, x.v - y.v AS d
+          FROM {pdim} JOIN vals x ON x.model = pd.model_a JOIN vals y ON y.model = pd.model_b AND {PAIR_JOIN}),
+pstats AS (SELECT {grp}, count(*) AS n_pairs, avg(a) AS mean_a, avg(b) AS mean_b, max(abs(d)) AS max_abs_d FROM pairs GROUP BY ALL),
+nz AS (SELECT {grp}, d, abs(d) AS ad,
+              rank() OVER (PARTITION BY {grp} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {grp}, abs(d)) - 1) / 2.0 AS r,
+              row_number() OVER (PARTITION BY {grp} ORDER BY abs(d), d) - 1 AS idx
+       FROM pairs WHERE d <> 0),
+w AS (SELECT {grp}, count(*) AS m, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm,
+             count(DISTINCT ad) AS nd FROM nz GROUP BY ALL),
+masks AS (SELECT {grp}, unnest(range(0, CAST(pow(2, m) AS BIGINT))) AS mask FROM w WHERE m <= 13),
+mw AS (SELECT k.setting, k.train_dataset, k.test_dataset, k.model_a, k.model_b, k.mask,
+              sum(CASE WHEN (k.mask >> CAST(z.idx AS BIGINT)) & 1 = 1 THEN z.r ELSE 0 END) AS ws
+       FROM masks k JOIN nz z USING ({grp}) GROUP BY ALL),
+pe AS (SELECT mw.setting, mw.train_dataset, mw.test_dataset, mw.model_a, mw.model_b, count_if(mw.ws <= least(w.wp, w.wm)) AS hits
+       FROM mw JOIN w USING ({grp}) GROUP BY ALL),
+tested AS (SELECT w.*, least(w.wp, w.wm) AS stat,
+                  CASE WHEN nd = m AND m <= 50 THEN 'exact' WHEN m <= 13 THEN 'exact_masks' ELSE 'normal' END AS method,
+                  least(1.0, 2.0 * pe.hits / pow(2, w.m)) AS p
+           FROM w LEFT JOIN pe USING ({grp})),
+out AS (
+SELECT sk.setting, sk.train_dataset, sk.test_dataset, sk.setting_label, 'f1' AS metric, sk.model_a, sk.model_b,
+       CAST(coalesce(ps.n_pairs, 0) AS BIGINT) AS n_pairs, ps.mean_a, ps.mean_b, ps.mean_a - ps.mean_b AS mean_diff_a_minus_b,
+       CASE WHEN coalesce(ps.n_pairs, 0) < 2 THEN NULL WHEN ps.max_abs_d <= 1e-8 THEN 0.0 ELSE t.stat END AS wilcoxon_statistic,
+       CASE WHEN coalesce(ps.n_pairs, 0) < 2 THEN NULL WHEN ps.max_abs_d <= 1e-8 THEN 1.0 ELSE t.p END AS pvalue,
+       CASE WHEN coalesce(ps.n_pairs, 0) < 2 THEN 'insufficient_pairs' WHEN ps.max_abs_d <= 1e-8 THEN 'identical_values' ELSE 'ok' END AS status,
+       CASE WHEN coalesce(ps.n_pairs, 0) < 2 OR ps.max_abs_d <= 1e-8 THEN NULL ELSE t.method END AS method,
+       sk.setting_order, sk.pair_order
+FROM {skel} LEFT JOIN pstats ps USING ({grp}) LEFT JOIN tested t USING ({grp}))"""
+    if with_table:
+        def f3(x):
+            return f"coalesce(printf('%.3f', {x}), 'nan')"
+        return body + f"""
+SELECT setting_order, pair_order, setting_label, concat(model_a, ' vs. ', model_b) AS comparison,
+       concat({f3('mean_a')}, '/', {f3('mean_b')}) AS mean_a_b,
+       CASE WHEN pvalue IS NULL THEN '--' WHEN pvalue < 0.001 THEN '<0.001' ELSE printf('%.3f', pvalue) END AS p_text,
+       CASE WHEN pvalue < 0.05 THEN 'Yes' ELSE 'No' END AS significant
+FROM out"""
+    return body + """
+SELECT setting, train_dataset, test_dataset, setting_label, metric, model_a, model_b, n_pairs,
+       round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_diff_a_minus_b, 6) AS mean_diff_a_minus_b,
+       round(wilcoxon_statistic, 6) AS wilcoxon_statistic, round(pvalue, 6) AS pvalue,
+       coalesce(pvalue < 0.05, false) AS significant_0_05, status, method, setting_order, pair_order
+FROM out"""
+
+
+def _wilcoxon(spark, sf_dir):
+    named = significance.with_short_names(ranking.filter_models(_results(spark, sf_dir), list(ENCODER_SHORT_NAMES.values())))
+    return significance.wilcoxon_tests(named, "f1")
+
+
+@register("wilcoxon_tests", _wilcoxon_sql())
+def q_wilcoxon_tests(spark, sf_dir):
+    """E4/T7 + C3 + C5 + E5 + A8: signed-rank tests of the four encoders, 4 settings x 6 listed pairs."""
+    return rounded(_wilcoxon(spark, sf_dir))
+
+
+@register("significance_table", _wilcoxon_sql(with_table=True))
+def q_significance_table(spark, sf_dir):
+    """E6 + H8 + H9: the significance cross-tab content in listed order."""
+    return significance.significance_table(_wilcoxon(spark, sf_dir))
