@@ -166,11 +166,15 @@ def word_tokens(col) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN_PATTERN), 0)
 
 
-def uni_bi_grams(col) -> Column:
-    """Unigrams followed by space-joined bigrams of adjacent tokens."""
-    toks = word_tokens(col)
-    bigrams = F.transform(
-        F.sequence(F.lit(1), F.size(toks) - 1),
-        lambda i: F.concat(F.element_at(toks, i), F.lit(" "), F.element_at(toks, i + 1)),
-    )
-    return F.when(F.size(toks) >= 2, F.concat(toks, bigrams)).otherwise(toks)
+def uni_bi_grams(tokens) -> Column:
+    """Unigrams followed by space-joined bigrams of adjacent tokens.
+
+    ``tokens`` must be an already computed array column (see ``word_tokens``):
+    the bigrams reference it twice, so it must not be a regex expression that
+    would be re-evaluated per element.
+    """
+    toks = _c(tokens)
+    n = F.size(toks)
+    pairs = F.arrays_zip(F.slice(toks, 1, n - 1).alias("l"), F.slice(toks, 2, n - 1).alias("r"))
+    bigrams = F.transform(pairs, lambda p: F.concat(p["l"], F.lit(" "), p["r"]))
+    return F.when(n >= 2, F.concat(toks, bigrams)).otherwise(toks)

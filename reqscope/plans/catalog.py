@@ -605,3 +605,125 @@ def q_wilcoxon_tests(spark, sf_dir):
 def q_significance_table(spark, sf_dir):
     """E6 + H8 + H9: the significance cross-tab content in listed order."""
     return significance.significance_table(_wilcoxon(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- step 6: split, tokens, TF-IDF, naive Bayes
+from ..operators import features, split  # noqa: E402
+from . import classical  # noqa: E402
+
+
+def _labelled(spark, sf_dir):
+    return fixtures.requirements(spark, sf_dir).select("req_id", "dataset", "label")
+
+
+@register("split_intra", f"WITH {S.SPLIT_BASE}\nSELECT seed, dataset, req_id, label, part FROM split")
+def q_split_intra(spark, sf_dir):
+    """I1 + I14: exact stratified 80/20 split per dataset and seed."""
+    return split.intra_split(_labelled(spark, sf_dir)).select(F.col("seed").cast("int").alias("seed"), "dataset", "req_id", "label", "part")
+
+
+@register(
+    "split_train_val_test",
+    f"""WITH {S.SPLIT_BASE},
+trainval AS (SELECT seed, dataset, req_id, label FROM split WHERE part = 'train'),
+{S.split_sql('trainval', 0.125, 'val', 'split2', test_name='val')}
+SELECT seed, dataset, req_id, label, part FROM split WHERE part = 'test'
+UNION ALL SELECT seed, dataset, req_id, label, part FROM split2""",
+)
+def q_split_tvt(spark, sf_dir):
+    """I2/B.4: 70/10/20 train/val/test, both cuts stratified."""
+    return split.train_val_test_split(_labelled(spark, sf_dir)).select(
+        F.col("seed").cast("int").alias("seed"), "dataset", "req_id", "label", "part")
+
+
+@register(
+    "split_cross",
+    f"""WITH {S.REQ},
+{S.seeds_sql()},
+lab AS (SELECT req_id, dataset, label FROM req),
+lab_seeds AS (SELECT l.*, s.seed FROM lab l CROSS JOIN seeds s),
+{S.split_sql('lab_seeds', 0.125, 'val', 'split', test_name='val')}
+SELECT seed, dataset, req_id, label, part FROM split""",
+)
+def q_split_cross(spark, sf_dir):
+    """Each training set split 87.5/12.5 train/val per seed (the other set is the test set)."""
+    return split.cross_split(_labelled(spark, sf_dir)).select(
+        F.col("seed").cast("int").alias("seed"), "dataset", "req_id", "label", "part")
+
+
+@register(
+    "doc_token_stats",
+    f"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{S.TOKEN_RE}') AS tk FROM documents)
+SELECT doc_id, CAST(len(tk) AS INTEGER) AS n_tokens, CAST(len(list_distinct(tk)) AS INTEGER) AS n_distinct,
+       CAST(len(list_distinct({S.grams_sql('tk')})) AS INTEGER) AS n_distinct_terms FROM toks""",
+)
+def q_doc_token_stats(spark, sf_dir):
+    """H15 over every document: token count, distinct tokens, distinct 1-2 gram terms."""
+    from ..functions.text import uni_bi_grams, word_tokens
+    docs = fixtures.read_table(spark, sf_dir, "documents").select("doc_id", word_tokens("text").alias("tk"))
+    return docs.select(
+        "doc_id",
+        F.size("tk").alias("n_tokens"),
+        F.size(F.array_distinct("tk")).alias("n_distinct"),
+        F.size(F.array_distinct(uni_bi_grams("tk"))).alias("n_distinct_terms"),
+    )
+
+
+@register(
+    "corpus_term_df",
+    f"""WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '{S.TOKEN_RE}') AS tk FROM documents),
+grams AS (SELECT doc_id, unnest({S.grams_sql('tk')}) AS term FROM toks),
+tc AS (SELECT doc_id, term, count(*) AS cnt FROM grams GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS total_cnt FROM tc GROUP BY term HAVING count(*) >= 2""",
+)
+def q_corpus_term_df(spark, sf_dir):
+    """H15 + I4 (min_df): document frequency and total count of every 1-2 gram in 2+ documents of the corpus."""
+    docs = fixtures.read_table(spark, sf_dir, "documents")
+    t = features.doc_terms(docs, keys=("doc_id",), text="text")
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").cast("bigint").alias("total_cnt")).where(F.col("df") >= 2)
+
+
+@register("tfidf_vocabulary", f"WITH {S.NB}\nSELECT tset, term, df, n_docs, round(idf, 6) AS idf FROM vocab")
+def q_tfidf_vocabulary(spark, sf_dir):
+    """I4: per training set the kept terms (min_df 2, max_df 0.95) with df and smoothed idf."""
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    return rounded(data.vocab)
+
+
+@register(
+    "tfidf_row_norms",
+    f"""WITH {S.NB}
+SELECT tset, req_id, count(*) AS n_terms, round(sum(x), 6) AS sum_x, round(sum(x * x), 6) AS sum_x2 FROM train_x GROUP BY ALL""",
+)
+def q_tfidf_row_norms(spark, sf_dir):
+    """I4: per training row of each set the kept-term count, weight sum and squared norm (= 1)."""
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    x = data.train_x()
+    return rounded(x.groupBy("tset", "req_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("x").alias("sum_x"), F.sum(F.col("x") * F.col("x")).alias("sum_x2")))
+
+
+@register("nb_class_scores", f"WITH {S.NB}\nSELECT tset, req_id, variant, label, round(score, 6) AS score FROM scores")
+def q_nb_class_scores(spark, sf_dir):
+    """I5 + C7: naive Bayes class scores of every scored (training set, row, variant)."""
+    return rounded(classical.nb_scores(classical.ClassicalData(fixtures.requirements(spark, sf_dir))))
+
+
+@register("nb_run_results", f"WITH {S.NB}\nSELECT {S.RUN_KEYS}, {S.round_cols(METRICS)}, tn, fp, fn, tp, n_test FROM nb_results")
+def q_nb_run_results(spark, sf_dir):
+    """I10-I12 + C1 + C4: text -> split -> TF-IDF -> naive Bayes -> metrics for every run of the grid."""
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    return rounded(evaluate.run_results(classical.nb_instances(data)))
+
+
+@register(
+    "nb_summary_by_variant",
+    f"""WITH {S.NB},
+summary AS ({S.summary_select(VKEYS)} FROM nb_results GROUP BY {VKEYS})
+SELECT {VKEYS}, {S.round_cols(S.SUMMARY_COLS)} FROM summary""",
+)
+def q_nb_summary_by_variant(spark, sf_dir):
+    """D6a over the naive Bayes grid, by text variant (the ablation of trigger terms)."""
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    res = evaluate.run_results(classical.nb_instances(data))
+    return rounded(ranking.summarize(res, ["setting", "variant", "train_dataset", "test_dataset", "model"]))

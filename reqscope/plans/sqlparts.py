@@ -179,3 +179,101 @@ def round_cols(cols) -> str:
 
 
 SUMMARY_COLS = [f"{m}_{s}" for m in METRIC_NAMES for s in ("mean", "std")]
+
+
+def seeds_sql() -> str:
+    return "seeds AS (SELECT unnest([" + ", ".join(str(s) for s in SEEDS) + "]) AS seed)"
+
+
+def quota_sql(src: str, groups: str, test_size: float, name: str = "quotas") -> str:
+    """Exact stratified test counts per (groups, label) of table ``src``."""
+    return f"""{name}_c AS (SELECT {groups}, label, count(*) AS n_c FROM {src} GROUP BY ALL),
+{name}_1 AS (SELECT *, sum(n_c) OVER (PARTITION BY {groups}) AS n FROM {name}_c),
+{name}_2 AS (SELECT *, CAST(ceil(CAST({test_size} AS DOUBLE) * n) AS BIGINT) AS n_test FROM {name}_1),
+{name}_3 AS (SELECT *, n - n_test AS n_train, CAST(n_c * (n - n_test) AS DOUBLE) / CAST(n AS DOUBLE) AS cont FROM {name}_2),
+{name}_4 AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM {name}_3),
+{name}_5 AS (SELECT *, n_train - sum(fl) OVER (PARTITION BY {groups}) AS need,
+                    row_number() OVER (PARTITION BY {groups} ORDER BY rem DESC, label) AS rk FROM {name}_4),
+{name} AS (SELECT {groups}, label, n_c, CAST(n_c - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END) AS BIGINT) AS test_c FROM {name}_5)"""
+
+
+def split_sql(src: str, test_size: float, salt: str, name: str, test_name: str = "test", train_name: str = "train") -> str:
+    """Rows of ``src`` (seed, dataset, req_id, label, ...) with a part column, exact per (seed, dataset, label)."""
+    return f"""{quota_sql(src, 'seed, dataset', test_size, name + '_q')},
+{name}_r AS (SELECT s.*, row_number() OVER (PARTITION BY seed, dataset, label
+              ORDER BY md5(concat_ws(':', CAST(seed AS VARCHAR), '{salt}', CAST(req_id AS VARCHAR))), req_id) AS rn FROM {src} s),
+{name} AS (SELECT r.seed, r.dataset, r.req_id, r.label, CASE WHEN r.rn <= q.test_c THEN '{test_name}' ELSE '{train_name}' END AS part
+           FROM {name}_r r JOIN {name}_q q USING (seed, dataset, label))"""
+
+
+SPLIT_BASE = (
+    REQ
+    + f""",
+{seeds_sql()},
+lab AS (SELECT req_id, dataset, label FROM req),
+lab_seeds AS (SELECT l.*, s.seed FROM lab l CROSS JOIN seeds s),
+{split_sql('lab_seeds', 0.2, '', 'split')}"""
+)
+
+
+def grams_sql(t: str) -> str:
+    return (f"list_concat(tk, CASE WHEN len(tk) >= 2 THEN list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1]) "
+            f"ELSE []::VARCHAR[] END)")
+
+
+TERMS_V = f"""variants AS (SELECT req_id, 'original' AS variant, requirement_text AS t FROM req
+                UNION ALL SELECT req_id, 'masked_triggers', {mask_sql('requirement_text')} FROM req
+                UNION ALL SELECT req_id, 'removed_triggers', {remove_sql('requirement_text')} FROM req),
+toks AS (SELECT req_id, variant, regexp_extract_all(lower(t), '{TOKEN_RE}') AS tk FROM variants),
+grams AS (SELECT req_id, variant, unnest({grams_sql('tk')}) AS term FROM toks),
+terms_v AS (SELECT req_id, variant, term, CAST(count(*) AS INTEGER) AS cnt FROM grams GROUP BY ALL),
+terms AS (SELECT req_id, term, cnt FROM terms_v WHERE variant = 'original')"""
+
+NB = (
+    SPLIT_BASE
+    + f""",
+{TERMS_V},
+train AS (SELECT dataset || ':' || CAST(seed AS VARCHAR) AS tset, req_id, label FROM split WHERE part = 'train'
+          UNION ALL SELECT dataset || ':all', req_id, label FROM lab WHERE dataset IN ('{DATASET_EVEN}', '{DATASET_ODD}')),
+ndocs AS (SELECT tset, count(*) AS n_docs FROM train GROUP BY tset),
+dft AS (SELECT t.tset, x.term, count(*) AS df FROM train t JOIN terms x USING (req_id) GROUP BY ALL),
+vocab AS (SELECT d.tset, d.term, d.df, n.n_docs,
+                 ln(CAST(1 + n.n_docs AS DOUBLE) / CAST(1 + d.df AS DOUBLE)) + 1.0 AS idf
+          FROM dft d JOIN ndocs n USING (tset) WHERE d.df >= 2 AND d.df <= CAST(0.95 AS DOUBLE) * n.n_docs),
+trw AS (SELECT t.tset, t.req_id, x.term, (1.0 + ln(CAST(x.cnt AS DOUBLE))) * v.idf AS w
+        FROM train t JOIN terms x USING (req_id) JOIN vocab v ON v.tset = t.tset AND v.term = x.term),
+train_x AS (SELECT tset, req_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY tset, req_id)) AS x FROM trw),
+nc AS (SELECT tset, label, count(*) AS n_c FROM train GROUP BY ALL),
+vs AS (SELECT tset, count(*) AS v_size FROM vocab GROUP BY tset),
+fc AS (SELECT x.tset, t.label, x.term, sum(x.x) AS fc FROM train_x x JOIN train t USING (tset, req_id) GROUP BY ALL),
+tot AS (SELECT tset, label, sum(fc) AS total FROM fc GROUP BY ALL),
+cls AS (SELECT nc.tset, nc.label, ln(CAST(nc.n_c AS DOUBLE) / CAST(sum(nc.n_c) OVER (PARTITION BY nc.tset) AS DOUBLE)) AS log_prior,
+               ln(coalesce(tot.total, 0.0) + vs.v_size) AS log_denom
+        FROM nc JOIN vs USING (tset) LEFT JOIN tot USING (tset, label)),
+tm AS (SELECT tset, label, term, ln(fc + 1.0) AS log_fc1 FROM fc),
+intra_runs AS (SELECT 'intra' AS setting, dataset AS train_dataset, dataset AS test_dataset, seed, req_id,
+                      dataset || ':' || CAST(seed AS VARCHAR) AS tset FROM split WHERE part = 'test'),
+cross_runs AS (SELECT 'cross' AS setting, CASE WHEN dataset = '{DATASET_EVEN}' THEN '{DATASET_ODD}' ELSE '{DATASET_EVEN}' END AS train_dataset,
+                      dataset AS test_dataset, s.seed, req_id,
+                      (CASE WHEN dataset = '{DATASET_EVEN}' THEN '{DATASET_ODD}' ELSE '{DATASET_EVEN}' END) || ':all' AS tset
+               FROM lab CROSS JOIN seeds s),
+runs AS (SELECT r.*, v.variant FROM (SELECT * FROM intra_runs UNION ALL SELECT * FROM cross_runs) r
+         CROSS JOIN (VALUES ('original'), ('masked_triggers'), ('removed_triggers')) v(variant)),
+score_rows AS (SELECT DISTINCT tset, req_id, variant FROM runs),
+tsw AS (SELECT s.tset, s.req_id, s.variant, x.term, (1.0 + ln(CAST(x.cnt AS DOUBLE))) * v.idf AS w
+        FROM score_rows s JOIN terms_v x USING (req_id, variant) JOIN vocab v ON v.tset = s.tset AND v.term = x.term),
+test_x AS (SELECT tset, req_id, variant, term, w / sqrt(sum(w * w) OVER (PARTITION BY tset, req_id, variant)) AS x FROM tsw),
+sx AS (SELECT tset, req_id, variant, sum(x) AS sum_x FROM test_x GROUP BY ALL),
+dot AS (SELECT x.tset, x.req_id, x.variant, m.label, sum(x.x * m.log_fc1) AS dot FROM test_x x JOIN tm m USING (tset, term) GROUP BY ALL),
+scores AS (SELECT s.tset, s.req_id, s.variant, c.label,
+                  c.log_prior + coalesce(d.dot, 0.0) - coalesce(sx.sum_x, 0.0) * c.log_denom AS score
+           FROM score_rows s JOIN cls c USING (tset) LEFT JOIN sx USING (tset, req_id, variant)
+           LEFT JOIN dot d USING (tset, req_id, variant, label)),
+preds AS (SELECT tset, req_id, variant, CAST(label AS INTEGER) AS y_pred FROM (
+            SELECT *, row_number() OVER (PARTITION BY tset, req_id, variant ORDER BY score DESC, label) AS rk FROM scores) t WHERE rk = 1),
+nb_instances AS (SELECT r.setting, r.variant, r.train_dataset, r.test_dataset, 'MultinomialNB' AS model, CAST(r.seed AS INTEGER) AS seed,
+                        r.req_id, q.requirement_text AS text, CAST(q.label AS INTEGER) AS y_true, p.y_pred, q.reasons
+                 FROM runs r LEFT JOIN preds p USING (tset, req_id, variant) JOIN req q USING (req_id)),
+nb_runs AS (SELECT {RUN_KEYS}, {confusion_sql()}, count(*) AS n FROM nb_instances GROUP BY {RUN_KEYS}),
+nb_results AS (SELECT {RUN_KEYS}, {metrics_sql(digits=None)}, tn, fp, fn, tp, n AS n_test FROM nb_runs)"""
+)
