@@ -686,7 +686,7 @@ def q_corpus_term_df(spark, sf_dir):
 @register("tfidf_vocabulary", f"WITH {S.NB}\nSELECT tset, term, df, n_docs, round(idf, 6) AS idf FROM vocab")
 def q_tfidf_vocabulary(spark, sf_dir):
     """I4: per training set the kept terms (min_df 2, max_df 0.95) with df and smoothed idf."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
     return rounded(data.vocab)
 
 
@@ -697,7 +697,7 @@ SELECT tset, req_id, count(*) AS n_terms, round(sum(x), 6) AS sum_x, round(sum(x
 )
 def q_tfidf_row_norms(spark, sf_dir):
     """I4: per training row of each set the kept-term count, weight sum and squared norm (= 1)."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
     x = data.train_x()
     return rounded(x.groupBy("tset", "req_id").agg(
         F.count(F.lit(1)).alias("n_terms"), F.sum("x").alias("sum_x"), F.sum(F.col("x") * F.col("x")).alias("sum_x2")))
@@ -706,13 +706,13 @@ def q_tfidf_row_norms(spark, sf_dir):
 @register("nb_class_scores", f"WITH {S.NB}\nSELECT tset, req_id, variant, label, round(score, 6) AS score FROM scores")
 def q_nb_class_scores(spark, sf_dir):
     """I5 + C7: naive Bayes class scores of every scored (training set, row, variant)."""
-    return rounded(classical.nb_scores(classical.ClassicalData(fixtures.requirements(spark, sf_dir))))
+    return rounded(classical.nb_scores(classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)))
 
 
 @register("nb_run_results", f"WITH {S.NB}\nSELECT {S.RUN_KEYS}, {S.round_cols(METRICS)}, tn, fp, fn, tp, n_test FROM nb_results")
 def q_nb_run_results(spark, sf_dir):
     """I10-I12 + C1 + C4: text -> split -> TF-IDF -> naive Bayes -> metrics for every run of the grid."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
     return rounded(evaluate.run_results(classical.nb_instances(data)))
 
 
@@ -724,6 +724,146 @@ SELECT {VKEYS}, {S.round_cols(S.SUMMARY_COLS)} FROM summary""",
 )
 def q_nb_summary_by_variant(spark, sf_dir):
     """D6a over the naive Bayes grid, by text variant (the ablation of trigger terms)."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir))
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
     res = evaluate.run_results(classical.nb_instances(data))
     return rounded(ranking.summarize(res, ["setting", "variant", "train_dataset", "test_dataset", "model"]))
+
+
+# ---------------------------------------------------------------- step 8: epoch log, verbaliser, argmax
+from ..functions.text import argmax, build_prompt, label_to_text, text_to_label  # noqa: E402
+from ..operators import training_log  # noqa: E402
+
+EPOCHS = 6
+# val_f1 per (labelled doc, epoch): one decimal (ties happen), NULL when the 5th hex digit is 0
+EPOCH_LOG_SQL = f"""epoch_log AS (
+  SELECT doc_id AS run_id, CAST(e.epoch AS INTEGER) AS epoch,
+         CASE WHEN substr(md5(concat(CAST(doc_id AS VARCHAR), ':', CAST(e.epoch AS VARCHAR))), 5, 1) = '0' THEN NULL
+              ELSE round(CAST(('x' || substr(md5(concat(CAST(doc_id AS VARCHAR), ':', CAST(e.epoch AS VARCHAR))), 1, 4))::BIT::BIGINT AS DOUBLE) / 65535.0, 1) END AS val_f1
+  FROM labels CROSS JOIN range(1, {EPOCHS + 1}) e(epoch))"""
+
+
+def epoch_log(spark, sf_dir):
+    """Epoch log with one pseudo-run per labelled document (E7 input)."""
+    labels = fixtures.read_table(spark, sf_dir, "labels").select("doc_id")
+    h = F.md5(F.concat(F.col("run_id").cast("string"), F.lit(":"), F.col("epoch").cast("string")))
+    return labels.select(F.col("doc_id").alias("run_id"), F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch")).select(
+        "run_id", "epoch",
+        F.when(F.substring(h, 5, 1) == "0", F.lit(None).cast("double")).otherwise(
+            F.round(F.conv(F.substring(h, 1, 4), 16, 10).cast("double") / 65535.0, 1)).alias("val_f1"),
+    )
+
+
+@register(
+    "best_checkpoint",
+    f"""WITH {EPOCH_LOG_SQL},
+a AS (SELECT *, coalesce(max(CASE WHEN NOT isnan(val_f1) THEN val_f1 END) OVER (PARTITION BY run_id ORDER BY epoch
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0) AS prior_best FROM epoch_log),
+b AS (SELECT *, coalesce(val_f1 IS NOT NULL AND NOT isnan(val_f1) AND val_f1 > prior_best, false) AS imp FROM a),
+c AS (SELECT *, sum(CAST(imp AS INTEGER)) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM b),
+d AS (SELECT *, CASE WHEN imp THEN 0 ELSE row_number() OVER (PARTITION BY run_id, streak ORDER BY epoch) - CASE WHEN streak > 0 THEN 1 ELSE 0 END END AS bad FROM c),
+s AS (SELECT run_id, min(CASE WHEN bad >= 2 THEN epoch END) AS stop_epoch FROM d GROUP BY run_id),
+r AS (SELECT d.*, s.stop_epoch FROM d JOIN s USING (run_id) WHERE s.stop_epoch IS NULL OR d.epoch <= s.stop_epoch)
+SELECT run_id, max(CASE WHEN imp THEN epoch END) AS best_epoch,
+       arg_max(CASE WHEN imp THEN val_f1 END, CASE WHEN imp THEN epoch END) AS best_val_f1,
+       any_value(stop_epoch) AS stop_epoch, count(*) AS epochs_run, any_value(stop_epoch IS NOT NULL) AS stopped_early
+FROM r GROUP BY run_id""",
+)
+def q_best_checkpoint(spark, sf_dir):
+    """Best epoch under patience-2 early stopping, per run of the epoch log."""
+    return training_log.best_checkpoint(epoch_log(spark, sf_dir))
+
+
+# FIXED VALUES (fixture recipe): generated-answer texts the verbaliser must read
+ANSWERS = ["yes", "Yes.", "no", "No, it is clear.", "not sure", "well yes", "", "  YES  ", "nothing", "maybe"]
+
+
+def _answer_case(h: str) -> str:
+    whens = " ".join(f"WHEN {i} THEN {S._sql_str(a)}" for i, a in enumerate(ANSWERS))
+    return f"(CASE CAST(('x' || substr({h}, 1, 2))::BIT::BIGINT AS INTEGER) % {len(ANSWERS)} {whens} END)"
+
+
+def _logit_sql(k: int) -> str:
+    return f"CAST(('x' || substr(md5(concat(CAST(req_id AS VARCHAR), ':l{k}')), 1, 3))::BIT::BIGINT AS DOUBLE)"
+
+
+@register(
+    "verbaliser",
+    f"""WITH {S.REQ},
+v AS (SELECT req_id, label, requirement_text, {_answer_case("md5(CAST(req_id AS VARCHAR))")} AS pred_text FROM req)
+SELECT req_id, CASE WHEN label = 1 THEN 'yes' ELSE 'no' END AS gold_text,
+       concat('is this requirement ambiguous? requirement: ', requirement_text) AS prompt, pred_text,
+       CASE WHEN starts_with(lower({S.strip_sql('pred_text')}), 'yes') THEN 1
+            WHEN starts_with(lower({S.strip_sql('pred_text')}), 'no') THEN 0
+            WHEN contains(lower({S.strip_sql('pred_text')}), 'yes') THEN 1 ELSE 0 END AS pred_label,
+       [{_logit_sql(0)}, {_logit_sql(1)}] AS logits,
+       CAST(list_position([{_logit_sql(0)}, {_logit_sql(1)}], list_max([{_logit_sql(0)}, {_logit_sql(1)}])) - 1 AS INTEGER) AS argmax_label
+FROM v""",
+)
+def q_verbaliser(spark, sf_dir):
+    """H6 + H7 + H11: label<->text verbaliser, prompt template, argmax of logits."""
+    req = fixtures.requirements(spark, sf_dir)
+    h = F.md5(F.col("req_id").cast("string"))
+    pick = (F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % len(ANSWERS))
+    answers = F.array(*[F.lit(a) for a in ANSWERS])
+    logit = lambda k: F.conv(F.substring(F.md5(F.concat(F.col("req_id").cast("string"), F.lit(f":l{k}"))), 1, 3), 16, 10).cast("double")
+    v = req.select("req_id", "label", "requirement_text", F.element_at(answers, pick + 1).alias("pred_text"),
+                   F.array(logit(0), logit(1)).alias("logits"))
+    return v.select(
+        "req_id", label_to_text("label").alias("gold_text"), build_prompt("requirement_text").alias("prompt"),
+        "pred_text", text_to_label("pred_text").alias("pred_label"), "logits", argmax("logits").alias("argmax_label"),
+    )
+
+
+# ---------------------------------------------------------------- steps 7-8: ML pipelines, batch scoring, streaming
+import uuid  # noqa: E402
+
+from ..operators import scoring  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from ..streaming import running_eval  # noqa: E402
+from . import ml  # noqa: E402
+
+
+@register("ml_nb_run_results", ORACLE["nb_run_results"])
+def q_ml_nb_run_results(spark, sf_dir):
+    """I6-I12 path with Spark ML NaiveBayes on SparseVector TF-IDF; must equal the relational NB."""
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    return rounded(evaluate.run_results(ml.ml_instances(data, ["MultinomialNB"])))
+
+
+@register("svm_run_results")
+def q_svm_run_results(spark, sf_dir):
+    """I6 + I9-I12: LinearSVC per training set over the whole grid (rows-only check)."""
+    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    return rounded(evaluate.run_results(ml.ml_instances(data, ["LinearSVM"])))
+
+
+STUB_SQL = " OR ".join(f"contains(lower(prompt), {S._sql_str(t.lower())})" for t in fixtures.TRIGGER_TERMS)
+
+
+@register(
+    "batch_scoring_results",
+    f"""WITH {S.REQ},
+p AS (SELECT req_id, dataset, label, concat('is this requirement ambiguous? requirement: ', requirement_text) AS prompt FROM req),
+s AS (SELECT dataset, label, CASE WHEN {STUB_SQL} THEN 1 ELSE 0 END AS y_pred FROM p),
+c AS (SELECT dataset, CAST(count_if(label = 0 AND y_pred = 0) AS BIGINT) AS tn, CAST(count_if(label = 0 AND y_pred = 1) AS BIGINT) AS fp,
+             CAST(count_if(label = 1 AND y_pred = 0) AS BIGINT) AS fn, CAST(count_if(label = 1 AND y_pred = 1) AS BIGINT) AS tp,
+             count(*) AS n FROM s GROUP BY dataset)
+SELECT dataset, {S.metrics_sql()}, tn, fp, fn, tp, n FROM c""",
+)
+def q_batch_scoring_results(spark, sf_dir):
+    """I13 + L3 + H6 + H7: Arrow-batched scoring by a pluggable scorer (deterministic stub), verbalised, evaluated."""
+    req = fixtures.requirements(spark, sf_dir)
+    scored = scoring.predict_labels(scoring.score_texts(req, ["req_id", "dataset", "label"], "requirement_text"))
+    conf = evaluate.confusion(scored.withColumnRenamed("label", "y_true"), ["dataset"])
+    return rounded(conf.select("dataset", *evaluate.metric_columns(), "tn", "fp", "fn", "tp", "n"))
+
+
+@register("stream_run_results", ORACLE["run_results"])
+def q_stream_run_results(spark, sf_dir):
+    """K1: running evaluation with Structured Streaming over arriving prediction files; equals the batch run_results."""
+    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    src = f"{base}/in"
+    fixtures.instances(spark, sf_dir).drop("text", "reasons").repartition(4, "seed").write.parquet(src)
+    q = running_eval.start(spark, src, f"{base}/out", f"{base}/checkpoint", files_per_trigger=1)
+    q.awaitTermination()
+    return rounded(running_eval.read_snapshot(spark, f"{base}/out"))

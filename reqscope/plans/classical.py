@@ -48,8 +48,8 @@ class ClassicalData:
         self.terms = self.terms_v.where(F.col("variant") == "original").drop("variant")
 
         labelled = self.req.select("req_id", "dataset", "label")
-        self.split = split.intra_split(labelled, seeds)
-        sp = self.split
+        sp = split.intra_split(labelled, seeds)
+        self.split = sp = _materialize(sp) if materialize else sp
         intra_train = sp.where(F.col("part") == "train").select(
             F.concat_ws(":", "dataset", F.col("seed").cast("string")).alias("tset"), "req_id", "label"
         )
@@ -75,7 +75,8 @@ class ClassicalData:
         self.runs = runs.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in lexicon.VARIANT_NAMES])))
         # each (training set, row, variant) is scored once, however many seeds share it
         self.score_rows = self.runs.select("tset", "req_id", "variant").distinct()
-        self.vocab = features.vocabulary(self.train.select("tset", "req_id"), self.terms)
+        vocab = features.vocabulary(self.train.select("tset", "req_id"), self.terms)
+        self.vocab = _materialize(vocab) if materialize else vocab
 
     def train_x(self) -> DataFrame:
         return features.tfidf(self.train.select("tset", "req_id"), self.terms, self.vocab)
@@ -85,7 +86,8 @@ class ClassicalData:
 
     def instances(self, predictions: DataFrame, model: str) -> DataFrame:
         """T3 rows: runs joined with (tset, req_id, variant, y_pred)."""
-        r = self.runs.join(predictions, ["tset", "req_id", "variant"], "left").join(self.req, "req_id")
+        on = ["tset", "req_id", "variant"] + (["seed"] if "seed" in predictions.columns else [])
+        r = self.runs.join(predictions, on, "left").join(self.req, "req_id")
         return r.select(
             "setting", "variant", "train_dataset", "test_dataset", F.lit(model).alias("model"),
             F.col("seed").cast("int").alias("seed"), "req_id", F.col("requirement_text").alias("text"),

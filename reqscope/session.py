@@ -70,3 +70,17 @@ def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "inner", bounded: bo
     ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and splits skewed keys.
     """
     return big.join(F.broadcast(dim) if bounded else dim, on=on, how=how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition by ``keys`` only when ``df`` has fewer partitions than the cluster can run at once.
+
+    A small single-file table scans as one task; CPU-heavy per-row work
+    (regex tokenising, lexicon folds) would then run on one core. Large
+    multi-file scans already have enough splits, and are left untouched
+    (no extra shuffle at scale).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SEEDS, TRIGGER_TERMS
 from ..functions.text import trigger_hits
+from ..session import spread
 
 DATASET_EVEN, DATASET_ODD = "PURE", "UserStories"
 
@@ -89,7 +90,7 @@ def requirements_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labelled requirement rows (req_id, dataset, requirement_text, label, reasons)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return docs.join(labels, "doc_id").select(
+    return spread(docs.join(labels, "doc_id"), "doc_id").select(
         F.col("doc_id").alias("req_id"),
         F.expr(dataset_sql()).alias("dataset"),
         F.col("text").alias("requirement_text"),
