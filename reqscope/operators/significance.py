@@ -140,7 +140,7 @@ def wilcoxon_tests(results: DataFrame, metric: str = "f1", order=ENCODER_ORDER,
     tied = F.col("n_distinct") < m
     mean_w = m * (m + 1) / 4.0
     var_w = m * (m + 1) * (2 * m + 1) / 24.0 - F.col("tie_term") / 48.0
-    z = (stat - mean_w) / F.sqrt(var_w)
+    z = (stat - mean_w) / F.nullif(F.sqrt(var_w), F.lit(0.0))
     method = (
         F.when(F.lit(force_normal), F.lit("normal"))
         .when(~tied & (m <= EXACT_MAX_UNTIED), F.lit("exact"))

@@ -305,8 +305,8 @@ def _report_sql():
         ("'weighted avg'", div(f"{p0} * {s0} + {p1} * {s1}", n), div(f"{r0} * {s0} + {r1} * {s1}", n), div(f"{f0} * {s0} + {f1} * {s1}", n), n),
     ]
     sel = " UNION ALL ".join(
-        f"SELECT {S.RUN_KEYS}, {rn} AS row_name, round(CAST({p} AS DOUBLE), 4) AS precision, round(CAST({r} AS DOUBLE), 4) AS recall, "
-        f"round(CAST({f} AS DOUBLE), 4) AS f1, CAST({s} AS BIGINT) AS support FROM runs WHERE seed = 42"
+        f"SELECT {S.RUN_KEYS}, {rn} AS row_name, round(CAST({p} AS DOUBLE), 6) AS precision, round(CAST({r} AS DOUBLE), 6) AS recall, "
+        f"round(CAST({f} AS DOUBLE), 6) AS f1, CAST({s} AS BIGINT) AS support FROM runs WHERE seed = 42"
         for rn, p, r, f, s in parts
     )
     return f"WITH {S.RESULTS}\n{sel}"
@@ -316,7 +316,7 @@ def _report_sql():
 def q_classification_report(spark, sf_dir):
     """D5a + I15: per-class report rows for the seed-42 runs."""
     conf = evaluate.confusion(fixtures.instances(spark, sf_dir).where(F.col("seed") == 42), evaluate.RUN_KEYS)
-    return evaluate.classification_report(conf, evaluate.RUN_KEYS)
+    return evaluate.classification_report(conf, evaluate.RUN_KEYS, digits=6)
 
 
 @register(
