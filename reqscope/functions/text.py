@@ -178,3 +178,18 @@ def uni_bi_grams(tokens) -> Column:
     pairs = F.arrays_zip(F.slice(toks, 1, n - 1).alias("l"), F.slice(toks, 2, n - 1).alias("r"))
     bigrams = F.transform(pairs, lambda p: F.concat(p["l"], F.lit(" "), p["r"]))
     return F.when(n >= 2, F.concat(toks, bigrams)).otherwise(toks)
+
+
+def percent_text(col, digits: int = 2) -> Column:
+    """A share as percent text at the output edge (0.1234 -> '12.34%'), half-even."""
+    return F.format_string(f"%.{digits}f%%", F.bround(_c(col) * 100.0, digits))
+
+
+def round2(col) -> Column:
+    """Runtime seconds to 2 places, half-even.
+
+    Python rounds the exact binary value; this rounds the shortest decimal
+    text, so the two differ only when that text has exactly three decimals
+    ending in 5 (2.675 -> 2.68 here, 2.67 in Python) - never for measured times.
+    """
+    return F.bround(_c(col), 2)

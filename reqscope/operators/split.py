@@ -25,11 +25,13 @@ def _hash(seed: str, salt: str, key: str):
 
 
 def class_quotas(df: DataFrame, groups, label: str = "label", test_size: float = TEST_SIZE) -> DataFrame:
-    """Per (groups, class): n_c and the exact number of test rows ``test_c``.
-
-    Runs on the aggregated class-count table (groups x classes rows).
-    """
+    """Per (groups, class): n_c and the exact number of test rows ``test_c``."""
     counts = df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("n_c"))
+    return quotas_from_counts(counts, groups, label, test_size)
+
+
+def quotas_from_counts(counts: DataFrame, groups, label: str = "label", test_size: float = TEST_SIZE) -> DataFrame:
+    """Quota arithmetic on a class-count table (groups..., label, n_c): groups x classes rows only."""
     wg = Window.partitionBy(*groups)
     n = F.sum("n_c").over(wg)
     q = counts.withColumn("n", n).withColumn("n_test", F.ceil(F.lit(test_size) * F.col("n")).cast("bigint"))
@@ -57,11 +59,12 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``out`` = test/train to every row of ``df`` (which carries ``seed``), exact sizes per (seed, groups, class)."""
     g = [seed] + list(groups)
-    quotas = class_quotas(df, g, label, test_size)
     h = _hash(seed, salt, key)
     rows = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, bucket_digits), 16, 10).cast("bigint"))
-    # bucket counts -> running sums -> boundary bucket per class (small tables only)
+    # one pass over the rows: bucket counts; class counts, quotas, running sums and the
+    # boundary bucket per class are then computed on that small table only
     bc = rows.groupBy(*g, label, "_b").agg(F.count(F.lit(1)).alias("bn"))
+    quotas = quotas_from_counts(bc.groupBy(*g, label).agg(F.sum("bn").alias("n_c")), g, label, test_size)
     wc = Window.partitionBy(*g, label).orderBy("_b")
     bc = bc.withColumn("cum", F.sum("bn").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
     bc = bc.join(quotas, g + [label])

@@ -69,7 +69,7 @@ FROM documents""",
 )
 def q_text_lengths(spark, sf_dir):
     """H1, H2 over every document."""
-    docs = fixtures.read_table(spark, sf_dir, "documents")
+    docs = fixtures.documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", char_len("text").alias("char_len"), word_len("text").alias("word_len"))
 
 
@@ -102,7 +102,7 @@ FROM (SELECT lang, text, 0 AS label FROM documents) d GROUP BY lang""",
 )
 def q_corpus_profile(spark, sf_dir):
     """D2a over the whole unlabelled corpus, one row per language (label 0)."""
-    docs = fixtures.read_table(spark, sf_dir, "documents").select(
+    docs = fixtures.documents(spark, sf_dir, "doc_id", "lang", "text").select(
         F.col("lang").alias("dataset"), F.col("text").alias("requirement_text"), F.lit(0).alias("label")
     )
     return rounded(profile.eda_summary(docs))
@@ -660,7 +660,7 @@ SELECT doc_id, CAST(len(tk) AS INTEGER) AS n_tokens, CAST(len(list_distinct(tk))
 def q_doc_token_stats(spark, sf_dir):
     """H15 over every document: token count, distinct tokens, distinct 1-2 gram terms."""
     from ..functions.text import uni_bi_grams, word_tokens
-    docs = fixtures.read_table(spark, sf_dir, "documents").select("doc_id", word_tokens("text").alias("tk"))
+    docs = fixtures.documents(spark, sf_dir, "doc_id", "text").select("doc_id", word_tokens("text").alias("tk"))
     return docs.select(
         "doc_id",
         F.size("tk").alias("n_tokens"),
@@ -678,7 +678,7 @@ SELECT term, count(*) AS df, CAST(sum(cnt) AS BIGINT) AS total_cnt FROM tc GROUP
 )
 def q_corpus_term_df(spark, sf_dir):
     """H15 + I4 (min_df): document frequency and total count of every 1-2 gram in 2+ documents of the corpus."""
-    docs = fixtures.read_table(spark, sf_dir, "documents")
+    docs = fixtures.documents(spark, sf_dir, "doc_id", "text")
     t = features.doc_terms(docs, keys=("doc_id",), text="text")
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").cast("bigint").alias("total_cnt")).where(F.col("df") >= 2)
 

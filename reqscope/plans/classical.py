@@ -41,7 +41,8 @@ class ClassicalData:
     """Shared tables of one classical experiment: split, terms, training sets, vocabularies, test rows."""
 
     def __init__(self, req: DataFrame, seeds=SEEDS, cross_pairs=DEFAULT_CROSS, materialize: bool = False):
-        self.req = req.select("req_id", "dataset", "requirement_text", "label", "reasons")
+        req = req.select("req_id", "dataset", "requirement_text", "label", "reasons")
+        self.req = _materialize(req) if materialize else req
         variants = lexicon.text_variants(self.req.select("req_id", "requirement_text"))
         terms = features.doc_terms(variants, keys=("req_id", "variant"), text="scored_text")
         self.terms_v = _materialize(terms) if materialize else terms
@@ -72,7 +73,8 @@ class ClassicalData:
                     F.concat_ws(":", "train_dataset", F.lit("all")).alias("tset"))
         )
         runs = intra_runs.unionByName(cross_runs)
-        self.runs = runs.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in lexicon.VARIANT_NAMES])))
+        runs = runs.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in lexicon.VARIANT_NAMES])))
+        self.runs = _materialize(runs) if materialize else runs
         # each (training set, row, variant) is scored once, however many seeds share it
         self.score_rows = self.runs.select("tset", "req_id", "variant").distinct()
         vocab = features.vocabulary(self.train.select("tset", "req_id"), self.terms)

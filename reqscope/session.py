@@ -79,6 +79,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     (regex tokenising, lexicon folds) would then run on one core. Large
     multi-file scans already have enough splits, and are left untouched
     (no extra shuffle at scale).
+
+    Call it on a scan (plus projections/filters) only: there the partition
+    count comes from the file splits without running a job.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:

@@ -86,11 +86,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The documents scan (pruned to ``cols``), spread over the cores when it has too few splits."""
+    return spread(read_table(spark, sf_dir, "documents").select(*cols), "doc_id" if "doc_id" in cols else cols[0])
+
+
 def requirements_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labelled requirement rows (req_id, dataset, requirement_text, label, reasons)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return spread(docs.join(labels, "doc_id"), "doc_id").select(
+    return docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("req_id"),
         F.expr(dataset_sql()).alias("dataset"),
         F.col("text").alias("requirement_text"),

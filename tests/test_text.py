@@ -74,3 +74,11 @@ def test_tokens_and_grams(spark):
     row = df.select("tk", T.uni_bi_grams("tk").alias("g")).first()
     assert row["tk"] == ["the", "système", "b_c"]
     assert row["g"] == ["the", "système", "b_c", "the système", "système b_c"]
+
+
+def test_percent_and_round2(spark):
+    assert one(spark, T.percent_text, 0.1234, "double") == "12.34%"
+    assert one(spark, T.percent_text, 0.0, "double") == "0.00%"
+    assert one(spark, T.round2, 1.005, "double") == 1.0
+    assert one(spark, T.round2, 12.345678, "double") == 12.35
+    assert one(spark, T.round2, 0.125, "double") == 0.12
