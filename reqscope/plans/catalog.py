@@ -381,9 +381,10 @@ paper AS (SELECT s.*, coalesce(md.display, s.model) AS model_display, md.model_o
 
 
 def _paper(spark, sf_dir):
-    classical = _summary(spark, sf_dir, models=CLASSICAL)
-    neural = _summary(spark, sf_dir, models=NEURAL)
-    return ranking.paper_summary(classical, neural)
+    # one summary aggregate; the classical and transformer parts are split after it,
+    # so both union branches reuse the same exchange instead of recomputing the runs
+    s = _summary(spark, sf_dir)
+    return ranking.paper_summary(ranking.filter_models(s, CLASSICAL), ranking.filter_models(s, NEURAL))
 
 
 def _paper_select(where: str = "") -> str:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SEEDS
+from ..functions.text import trigger_hits
 from ..operators import features, lexicon, naive_bayes, split
 from ..session import materialize as _materialize
 from ..sources.fixtures import DATASET_EVEN, DATASET_ODD
@@ -41,14 +42,21 @@ class ClassicalData:
     """Shared tables of one classical experiment: split, terms, training sets, vocabularies, test rows."""
 
     def __init__(self, req: DataFrame, seeds=SEEDS, cross_pairs=DEFAULT_CROSS, materialize: bool = False):
-        req = req.select("req_id", "dataset", "requirement_text", "label", "reasons")
+        req = req.select("req_id", "dataset", "requirement_text", "label", "reasons").withColumn(
+            "hit", F.size(trigger_hits("requirement_text")) > 0
+        )
         self.req = _materialize(req) if materialize else req
-        variants = lexicon.text_variants(self.req.select("req_id", "requirement_text"))
-        terms = features.doc_terms(variants, keys=("req_id", "variant"), text="scored_text")
+        # A row where no lexicon form occurs has masked text == original and removed
+        # text differing only in whitespace, so all three variants have the same terms:
+        # only rows with a hit are tokenised (and later scored) per variant.
+        original = self.req.select("req_id", F.lit("original").alias("variant"), F.col("requirement_text").alias("scored_text"))
+        changed = lexicon.text_variants(self.req.where("hit").select("req_id", "requirement_text")).where(
+            F.col("variant") != "original").select("req_id", "variant", "scored_text")
+        terms = features.doc_terms(original.unionByName(changed), keys=("req_id", "variant"), text="scored_text")
         self.terms_v = _materialize(terms) if materialize else terms
         self.terms = self.terms_v.where(F.col("variant") == "original").drop("variant")
 
-        labelled = self.req.select("req_id", "dataset", "label")
+        labelled = self.req.select("req_id", "dataset", "label", "hit")
         sp = split.intra_split(labelled, seeds)
         self.split = sp = _materialize(sp) if materialize else sp
         intra_train = sp.where(F.col("part") == "train").select(
@@ -63,20 +71,21 @@ class ClassicalData:
         intra_runs = sp.where(F.col("part") == "test").select(
             F.lit("intra").alias("setting"), F.col("dataset").alias("train_dataset"),
             F.col("dataset").alias("test_dataset"), "seed", "req_id",
-            F.concat_ws(":", "dataset", F.col("seed").cast("string")).alias("tset"),
+            F.concat_ws(":", "dataset", F.col("seed").cast("string")).alias("tset"), "hit",
         )
         cross_runs = (
-            labelled.select("req_id", F.col("dataset").alias("test_dataset"),
+            labelled.select("req_id", "hit", F.col("dataset").alias("test_dataset"),
                             F.explode(F.coalesce(_cross_map(cross_pairs)[F.col("dataset")], F.array().cast("array<string>"))).alias("train_dataset"))
             .select(F.lit("cross").alias("setting"), "train_dataset", "test_dataset",
                     F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), "req_id",
-                    F.concat_ws(":", "train_dataset", F.lit("all")).alias("tset"))
+                    F.concat_ws(":", "train_dataset", F.lit("all")).alias("tset"), "hit")
         )
         runs = intra_runs.unionByName(cross_runs)
         runs = runs.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in lexicon.VARIANT_NAMES])))
+        runs = runs.withColumn("score_variant", F.when(F.col("hit"), F.col("variant")).otherwise(F.lit("original"))).drop("hit")
         self.runs = _materialize(runs) if materialize else runs
-        # each (training set, row, variant) is scored once, however many seeds share it
-        self.score_rows = self.runs.select("tset", "req_id", "variant").distinct()
+        # each (training set, row, distinct text) is scored once, however many seeds and variants share it
+        self.score_rows = self.runs.select("tset", "req_id", F.col("score_variant").alias("variant")).distinct()
         vocab = features.vocabulary(self.train.select("tset", "req_id"), self.terms)
         self.vocab = _materialize(vocab) if materialize else vocab
 
@@ -88,8 +97,9 @@ class ClassicalData:
 
     def instances(self, predictions: DataFrame, model: str) -> DataFrame:
         """T3 rows: runs joined with (tset, req_id, variant, y_pred)."""
-        on = ["tset", "req_id", "variant"] + (["seed"] if "seed" in predictions.columns else [])
-        r = self.runs.join(predictions, on, "left").join(self.req, "req_id")
+        preds = predictions.withColumnRenamed("variant", "score_variant")
+        on = ["tset", "req_id", "score_variant"] + (["seed"] if "seed" in predictions.columns else [])
+        r = self.runs.join(preds, on, "left").join(self.req.drop("hit"), "req_id")
         return r.select(
             "setting", "variant", "train_dataset", "test_dataset", F.lit(model).alias("model"),
             F.col("seed").cast("int").alias("seed"), "req_id", F.col("requirement_text").alias("text"),
@@ -97,13 +107,19 @@ class ClassicalData:
         )
 
 
-def nb_scores(data: ClassicalData) -> DataFrame:
-    """Class scores (tset, req_id, variant, label, score) of every scored row."""
+def _nb_scores_distinct(data: ClassicalData) -> DataFrame:
     term_model, class_model = naive_bayes.fit(data.train_x(), data.train, data.vocab)
     return naive_bayes.class_scores(data.score_rows, data.test_x(), term_model, class_model, keys=("req_id", "variant"))
 
 
+def nb_scores(data: ClassicalData) -> DataFrame:
+    """Class scores (tset, req_id, variant, label, score) for every (training set, row, variant)."""
+    scores = _nb_scores_distinct(data).withColumnRenamed("variant", "score_variant")
+    keys = data.runs.select("tset", "req_id", "variant", "score_variant").distinct()
+    return keys.join(scores, ["tset", "req_id", "score_variant"]).select("tset", "req_id", "variant", "label", "score")
+
+
 def nb_instances(data: ClassicalData, model: str = "MultinomialNB") -> DataFrame:
     """I10-I12 for the naive Bayes model: prediction rows of the whole grid."""
-    preds = naive_bayes.predict(nb_scores(data), keys=("req_id", "variant"))
+    preds = naive_bayes.predict(_nb_scores_distinct(data), keys=("req_id", "variant"))
     return data.instances(preds, model)
