@@ -109,7 +109,8 @@ class ClassicalData:
 
 def _nb_scores_distinct(data: ClassicalData) -> DataFrame:
     term_model, class_model = naive_bayes.fit(data.train_x(), data.train, data.vocab)
-    return naive_bayes.class_scores(data.score_rows, data.test_x(), term_model, class_model, keys=("req_id", "variant"))
+    w = features.tfidf_unnormalised(data.score_rows, data.terms_v, data.vocab, keys=("req_id", "variant"))
+    return naive_bayes.class_scores_from_weights(data.score_rows, w, term_model, class_model, keys=("req_id", "variant"))
 
 
 def nb_scores(data: ClassicalData) -> DataFrame:
