@@ -37,11 +37,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
     is. Only when nothing is configured (local tests) a scratch folder is made.
     """
-    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a SparkContext handle (e.g. Spark Connect)
+        return conf_dir or _LOCAL_SCRATCH.setdefault("dir", tempfile.mkdtemp(prefix="reqscope-ckpt-", dir="/tmp"))
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
     else:
@@ -49,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
@@ -89,7 +95,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Call it on a scan (plus projections/filters) only: there the partition
     count comes from the file splits without running a job.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD access in this session type: leave the plan as it is
         return df
     return df.repartition(target, *keys)
