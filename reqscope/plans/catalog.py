@@ -865,6 +865,6 @@ def q_stream_run_results(spark, sf_dir):
     base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
     src = f"{base}/in"
     fixtures.instances(spark, sf_dir).drop("text", "reasons").repartition(4, "seed").write.parquet(src)
-    q = running_eval.start(spark, src, f"{base}/out", f"{base}/checkpoint", files_per_trigger=1)
+    q = running_eval.start(spark, src, f"{base}/out", f"{base}/checkpoint", files_per_trigger=2)
     q.awaitTermination()
     return rounded(running_eval.read_snapshot(spark, f"{base}/out"))
