@@ -104,7 +104,7 @@ def wilcoxon_tests(results: DataFrame, metric: str = "f1", order=ENCODER_ORDER,
     ``results`` carries ``model`` already mapped to the listed names. Zero
     differences are dropped (``n_pairs`` counts them), mid-ranks of |d| come
     from two windows over the (setting, pair) group, stat = min(W+, W-).
-    p: untied m <= 50 exact null counts; ties or zeros with m <= 13 all sign
+    p: no ties and no zeros with m <= 50 exact null counts; ties or zeros with m <= 13 all sign
     masks over the mid-ranks; otherwise (or ``force_normal``) normal with
     tie correction. ``method`` records which.
     """
@@ -138,12 +138,13 @@ def wilcoxon_tests(results: DataFrame, metric: str = "f1", order=ENCODER_ORDER,
     )
     m, stat = F.col("m"), F.least(F.col("w_plus"), F.col("w_minus"))
     tied = F.col("n_distinct") < m
+    zeros = F.col("n_pairs") > m  # zero differences were dropped
     mean_w = m * (m + 1) / 4.0
     var_w = m * (m + 1) * (2 * m + 1) / 24.0 - F.col("tie_term") / 48.0
     z = (stat - mean_w) / F.nullif(F.sqrt(var_w), F.lit(0.0))
     method = (
         F.when(F.lit(force_normal), F.lit("normal"))
-        .when(~tied & (m <= EXACT_MAX_UNTIED), F.lit("exact"))
+        .when(~tied & ~zeros & (m <= EXACT_MAX_UNTIED), F.lit("exact"))
         .when(m <= EXACT_MAX_TIED, F.lit("exact_masks"))
         .otherwise(F.lit("normal"))
     )

@@ -562,9 +562,9 @@ mw AS (SELECT k.setting, k.train_dataset, k.test_dataset, k.model_a, k.model_b,
 pe AS (SELECT mw.setting, mw.train_dataset, mw.test_dataset, mw.model_a, mw.model_b, count_if(mw.ws <= least(w.wp, w.wm)) AS hits
        FROM mw JOIN w USING ({grp}) GROUP BY ALL),
 tested AS (SELECT w.*, least(w.wp, w.wm) AS stat,
-                  CASE WHEN nd = m AND m <= 50 THEN 'exact' WHEN m <= 13 THEN 'exact_masks' ELSE 'normal' END AS method,
+                  CASE WHEN w.nd = w.m AND ps.n_pairs = w.m AND w.m <= 50 THEN 'exact' WHEN w.m <= 13 THEN 'exact_masks' ELSE 'normal' END AS method,
                   least(1.0, 2.0 * pe.hits / pow(2, w.m)) AS p
-           FROM w LEFT JOIN pe USING ({grp})),
+           FROM w JOIN pstats ps USING ({grp}) LEFT JOIN pe USING ({grp})),
 out AS (
 SELECT sk.setting, sk.train_dataset, sk.test_dataset, sk.setting_label, 'f1' AS metric, sk.model_a, sk.model_b,
        CAST(coalesce(ps.n_pairs, 0) AS BIGINT) AS n_pairs, ps.mean_a, ps.mean_b, ps.mean_a - ps.mean_b AS mean_diff_a_minus_b,

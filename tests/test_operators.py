@@ -122,3 +122,16 @@ def test_variants_keep_row_count(spark):
     got = {(r["req_id"], r["variant"]): r["scored_text"] for r in v.collect()}
     assert got[(1, "masked_triggers")] == "it [TRIGGER] be [TRIGGER]"
     assert got[(1, "removed_triggers")] == "it be"
+
+
+def test_wilcoxon_zero_difference_uses_masks(spark):
+    s = ("intra", "PURE", "PURE")
+    rows = []
+    for i, seed in enumerate([13, 21, 42, 87, 123]):
+        rows += [(*s, "BERT", seed, 0.5 + 0.1 * i + (0.0 if i == 0 else 0.01 * i)), (*s, "RoBERTa", seed, 0.5 + 0.1 * i)]
+    r = significance.wilcoxon_tests(_results(spark, rows)).where(
+        (F.col("setting") == "intra") & (F.col("train_dataset") == "PURE") & (F.col("model_a") == "BERT") & (F.col("model_b") == "RoBERTa")
+    ).first()
+    # one zero dropped: m = 4 positive differences, W- = 0 -> p = 2 / 16
+    assert (r["n_pairs"], r["wilcoxon_statistic"], r["method"], r["status"]) == (5, 0.0, "exact_masks", "ok")
+    assert r["pvalue"] == 0.125
