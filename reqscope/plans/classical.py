@@ -56,7 +56,7 @@ class ClassicalData:
         self.terms_v = _materialize(terms) if materialize else terms
         self.terms = self.terms_v.where(F.col("variant") == "original").drop("variant")
 
-        labelled = self.req.select("req_id", "dataset", "label", "hit")
+        labelled = self.req.select("req_id", "dataset", "label", "hit", "reasons")
         sp = split.intra_split(labelled, seeds)
         self.split = sp = _materialize(sp) if materialize else sp
         intra_train = sp.where(F.col("part") == "train").select(
@@ -71,14 +71,14 @@ class ClassicalData:
         intra_runs = sp.where(F.col("part") == "test").select(
             F.lit("intra").alias("setting"), F.col("dataset").alias("train_dataset"),
             F.col("dataset").alias("test_dataset"), "seed", "req_id",
-            F.concat_ws(":", "dataset", F.col("seed").cast("string")).alias("tset"), "hit",
+            F.concat_ws(":", "dataset", F.col("seed").cast("string")).alias("tset"), "hit", "label", "reasons",
         )
         cross_runs = (
-            labelled.select("req_id", "hit", F.col("dataset").alias("test_dataset"),
+            labelled.select("req_id", "hit", "label", "reasons", F.col("dataset").alias("test_dataset"),
                             F.explode(F.coalesce(_cross_map(cross_pairs)[F.col("dataset")], F.array().cast("array<string>"))).alias("train_dataset"))
             .select(F.lit("cross").alias("setting"), "train_dataset", "test_dataset",
                     F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), "req_id",
-                    F.concat_ws(":", "train_dataset", F.lit("all")).alias("tset"), "hit")
+                    F.concat_ws(":", "train_dataset", F.lit("all")).alias("tset"), "hit", "label", "reasons")
         )
         runs = intra_runs.unionByName(cross_runs)
         runs = runs.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in lexicon.VARIANT_NAMES])))
@@ -95,14 +95,22 @@ class ClassicalData:
     def test_x(self) -> DataFrame:
         return features.tfidf(self.score_rows, self.terms_v, self.vocab, keys=("req_id", "variant"))
 
-    def instances(self, predictions: DataFrame, model: str) -> DataFrame:
-        """T3 rows: runs joined with (tset, req_id, variant, y_pred)."""
+    def instances(self, predictions: DataFrame, model: str, with_text: bool = False) -> DataFrame:
+        """T3 rows: runs joined with (tset, req_id, variant, y_pred).
+
+        Runs already carry the label and reasons; the (original) text is joined
+        back only when ``with_text`` asks for full instance rows.
+        """
         preds = predictions.withColumnRenamed("variant", "score_variant")
         on = ["tset", "req_id", "score_variant"] + (["seed"] if "seed" in predictions.columns else [])
-        r = self.runs.join(preds, on, "left").join(self.req.drop("hit"), "req_id")
+        r = self.runs.join(preds, on, "left")
+        text = F.lit(None).cast("string")
+        if with_text:
+            r = r.join(self.req.select("req_id", "requirement_text"), "req_id")
+            text = F.col("requirement_text")
         return r.select(
             "setting", "variant", "train_dataset", "test_dataset", F.lit(model).alias("model"),
-            F.col("seed").cast("int").alias("seed"), "req_id", F.col("requirement_text").alias("text"),
+            F.col("seed").cast("int").alias("seed"), "req_id", text.alias("text"),
             F.col("label").cast("int").alias("y_true"), F.col("y_pred").cast("int").alias("y_pred"), "reasons",
         )
 
@@ -120,7 +128,7 @@ def nb_scores(data: ClassicalData) -> DataFrame:
     return keys.join(scores, ["tset", "req_id", "score_variant"]).select("tset", "req_id", "variant", "label", "score")
 
 
-def nb_instances(data: ClassicalData, model: str = "MultinomialNB") -> DataFrame:
+def nb_instances(data: ClassicalData, model: str = "MultinomialNB", with_text: bool = False) -> DataFrame:
     """I10-I12 for the naive Bayes model: prediction rows of the whole grid."""
     preds = naive_bayes.predict(_nb_scores_distinct(data), keys=("req_id", "variant"))
-    return data.instances(preds, model)
+    return data.instances(preds, model, with_text)
