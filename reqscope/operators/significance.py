@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ALPHA, ENCODER_ORDER, ENCODER_SHORT_NAMES, KEY3, SIGNIFICANCE_SETTINGS
-from ..functions.stats import erfc_p, exact_signed_rank_p, mask_enumeration_p, t_two_sided_p
+from ..functions.stats import exact_signed_rank_p, mask_enumeration_p, normal_two_sided_p, t_two_sided_p
 from ..functions.text import fixed3, pvalue_text, yes_no
 
 EXACT_MAX_UNTIED = 50
@@ -156,7 +156,7 @@ def wilcoxon_tests(results: DataFrame, metric: str = "f1", order=ENCODER_ORDER,
         "p_exact",
         F.when(F.col("method") == "exact", exact_signed_rank_p("stat", "m"))
         .when(F.col("method") == "exact_masks", mask_enumeration_p("ranks", "stat")),
-    ).withColumn("p_normal", erfc_p(F.when(F.col("method") == "normal", F.col("z"))))
+    ).withColumn("p_normal", normal_two_sided_p(F.when(F.col("method") == "normal", F.col("z"))))
     tested = tested.select(*grp, "n_pairs", "mean_a", "mean_b", "max_abs_d", "stat", "method",
                            F.coalesce("p_exact", "p_normal").alias("p"))
 

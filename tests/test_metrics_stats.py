@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reqscope.constants import METRICS
 from reqscope.functions.metrics import metric_columns
-from reqscope.functions.stats import exact_signed_rank_p, mask_enumeration_p, t_two_sided_p
+from reqscope.functions.stats import exact_signed_rank_p, mask_enumeration_p, normal_two_sided_p, t_two_sided_p
 
 
 def metrics_of(spark, tn, fp, fn, tp):
@@ -74,3 +74,13 @@ def test_mask_enumeration_with_ties_bruteforce(spark):
     expected = min(1.0, 2 * hits / 2 ** len(ranks))
     r = spark.createDataFrame([(ranks, stat)], "r array<double>, s double").select(mask_enumeration_p("r", "s").alias("p")).first()["p"]
     assert r == pytest.approx(expected)
+
+
+def test_normal_tail_matches_math_erfc(spark):
+    zs = [0.0, 1e-6, 0.3, -1.0, 1.959963984540054, 3.0, -4.5, 7.0, 7.0710678118654755, 7.2, 9.5, 12.0, 20.0, 40.0]
+    df = spark.createDataFrame([(z,) for z in zs] + [(None,)], "z double")
+    got = {r["z"]: r["p"] for r in df.select("z", normal_two_sided_p("z").alias("p")).collect()}
+    assert got[None] is None
+    for z in zs:
+        want = math.erfc(abs(z) / math.sqrt(2.0))
+        assert got[z] == pytest.approx(want, rel=1e-12, abs=1e-15), z
