@@ -865,6 +865,8 @@ def q_stream_run_results(spark, sf_dir):
     base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
     src = f"{base}/in"
     fixtures.instances(spark, sf_dir).drop("text", "reasons").repartition(4, "seed").write.parquet(src)
-    q = running_eval.start(spark, src, f"{base}/out", f"{base}/checkpoint", files_per_trigger=2)
+    # state is one row per run (bounded by the grid), so a few state partitions suffice at any data size
+    q = running_eval.start(spark, src, f"{base}/out", f"{base}/checkpoint", files_per_trigger=2,
+                           state_partitions=min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     q.awaitTermination()
     return rounded(running_eval.read_snapshot(spark, f"{base}/out"))
