@@ -24,3 +24,47 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document (five-word shingles, Jaccard 0.8)."""
+    from . import jaccard
+
+    return jaccard.jaccard_classes(read(spark, sf_dir, "documents")).drop("nid")
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based n-gram score of every document."""
+    from . import lm
+
+    return lm.lm_scores(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    from . import packing
+
+    return packing.pack_documents(read(spark, sf_dir, "documents"), ids=False)
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and a digest of the text that is left, per document."""
+    from pyspark.sql import functions as F
+
+    from . import lines
+
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, divergences from the language references and verdict of every document."""
+    from . import rules
+
+    docs = read(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.references(docs))
