@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["block_pairs", "fresh", "materialize", "maybe_in", "read", "row_key"]
+__all__ = ["block_pairs", "dealt_rows", "each_group", "fresh", "materialize", "maybe_in", "read", "row_key"]
 
 #: Words of 64 bits in the filter of :func:`maybe_in`: 2 MB however large the data.
 FILTER_WORDS = 1 << 18
@@ -55,16 +59,36 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, words: int = FILTER_WO
     return out.withColumn(fresh(df, "maybe"), hit).drop(word, bits, h)
 
 
-def block_pairs(members: DataFrame, group: str, size: str, node: str, block: int) -> DataFrame:
+def dealt_rows(sizes: DataFrame, block: int) -> int:
+    """Rows that :func:`block_pairs` makes of groups with these ``size`` values."""
+    return int(sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / F.lit(float(block))))).first()[0] or 0)
+
+
+def each_group(pdf: pd.DataFrame, keys: list[str], fn: Callable[[dict], dict]) -> pd.DataFrame:
+    """Concatenated results of ``fn`` over the groups of a bucket of many small groups."""
+    pdf = pdf.sort_values(keys, kind="stable")
+    columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= columns[k][1:] != columns[k][:-1]
+    at = np.flatnonzero(new)
+    parts = [fn({c: v[a:b] for c, v in columns.items()}) for a, b in zip(at, np.append(at[1:], len(pdf)))]
+    return pd.DataFrame({c: np.concatenate([x[c] for x in parts]) for c in parts[0]})
+
+
+def block_pairs(members: DataFrame, group: str, size: str, node: str, block: int, buckets: int) -> DataFrame:
     """Deal each group's members to tasks that each hold at most about ``2 * block`` members.
 
     A group of up to ``block`` members is one task. A larger one is cut into
     ``c = ceil(size / block)`` parts by hash, and each pair of parts (i <= j) is
     a task of its own; a member goes to the ``c`` tasks of its part. Every pair
     of members meets in at least one task, and no task grows with the group.
-    Adds ``part``, ``parts``, ``i`` and ``j``.
+    Adds ``part``, ``parts``, ``i`` and ``j``, and the ``bucket`` (of ``buckets``)
+    that gathers many small tasks into one.
     """
     parts = F.ceil(F.col(size) / F.lit(float(block))).cast("int")
     out = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.col(node)), F.col("parts").cast("long")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return out.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
+    out = out.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other")
+    return out.withColumn("bucket", F.pmod(F.xxhash64(group, "i", "j"), F.lit(buckets)))

@@ -35,13 +35,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
-from .common import block_pairs, fresh, materialize, maybe_in, row_key
+from .common import block_pairs, dealt_rows, each_group, fresh, materialize, maybe_in, row_key
 from .components import components
 
 
@@ -53,6 +52,7 @@ class JaccardParams:
     max_hashes: int = 256
     block: int = 256  #: sets per part of a large group
     columns: int = 8192  #: shingles per matrix product
+    bucket: int = 2000  #: sets per verification task, about
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int) -> tuple[int, int]:
@@ -144,8 +144,9 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
     for lo in range(0, int(column[-1]) + 1 if len(column) else 0, p.columns):
         a, b = np.searchsorted(column, [lo, lo + p.columns])
         c, w = column[a:b] - lo, who[a:b]
-        ml = np.zeros((len(left), p.columns), np.float32)
-        mr = np.zeros((len(right), p.columns), np.float32)
+        wide = int(c[-1]) + 1
+        ml = np.zeros((len(left), wide), np.float32)
+        mr = np.zeros((len(right), wide), np.float32)
         in_l, in_r = place_l[w] >= 0, place_r[w] >= 0
         ml[place_l[w[in_l]], c[in_l]] = 1
         mr[place_r[w[in_r]], c[in_r]] = 1
@@ -157,27 +158,26 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
 
 
 def _verify(p: JaccardParams):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("nid").sort_values("nid")
-        ids, part = pdf["nid"].to_numpy(), pdf["part"].to_numpy()
-        sets = [np.unique(np.frombuffer(s, np.uint64)) for s in pdf["shingles"]]
-        i, j = int(key[1]), int(key[2])
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    def task(rows: dict) -> dict:
+        ids, at = np.unique(rows["nid"], return_index=True)  # equal rows came twice; positions are in id order
+        part = rows["part"][at]
+        sets = [np.unique(np.frombuffer(rows["shingles"][k], np.uint64)) for k in at]
+        left, right = np.flatnonzero(part == rows["i"][0]), np.flatnonzero(part == rows["j"][0])
         linked = _links(ids, sets, left, right, p)
         count = np.zeros(len(ids), np.int64)
         count[left] += linked.sum(axis=1)
-        if i != j:
+        if rows["i"][0] != rows["j"][0]:
             count[right] += linked.sum(axis=0)
-        # one tie per member, to the smallest member of its component in this task (positions are in id order)
+        # one tie per member, to the smallest member of its component in this task
         label, before = np.arange(len(ids)), None
         while before is None or (label != before).any():
             before = label.copy()
             if linked.size:
                 label[left] = np.minimum(label[left], np.where(linked, label[right][None, :], len(ids)).min(axis=1))
                 label[right] = np.minimum(label[right], np.where(linked, label[left][:, None], len(ids)).min(axis=0))
-        tie = ids[label]
-        return pd.DataFrame({"nid": ids, "links": count, "tie": tie})
-    return run
+        return {"nid": ids, "links": count, "tie": ids[label]}
+
+    return lambda pdf: each_group(pdf, ["grp", "i", "j"], task)
 
 
 def _fetch_sets(n: int):
@@ -214,15 +214,16 @@ def jaccard_classes(docs: DataFrame, p: JaccardParams = JaccardParams(), doc_id:
     buckets = member.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").drop("last")
     ties = member.join(buckets, "band").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
     groups = materialize(components(ties), "groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    buckets = max(1, -(-dealt_rows(sizes, p.block) // p.bucket))
     wanted = groups.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "h1"), "node")
     wanted = materialize(wanted.select(F.col("node").alias("nid"), F.col("component").alias("grp"), "size", "h1"), "wanted")
 
     near = maybe_in(slim.select("nid", "text"), F.col("nid"), wanted.select("nid")).where("maybe").drop("maybe")
     sets = near.join(wanted, "nid").select("nid", "grp", "size", "h1", "text").mapInArrow(
         _fetch_sets(p.n), "nid long, grp long, size long, shingles binary")
-    dealt = block_pairs(sets, "grp", "size", "nid", p.block)
-    checked = dealt.select("grp", "i", "j", "nid", "part", "shingles").groupBy("grp", "i", "j").applyInPandas(
+    dealt = block_pairs(sets, "grp", "size", "nid", p.block, buckets)
+    checked = dealt.select("bucket", "grp", "i", "j", "nid", "part", "shingles").groupBy("bucket").applyInPandas(
         _verify(p), "nid long, links long, tie long")
     checked = materialize(checked, "checked")
     links = checked.groupBy("nid").agg(F.sum("links").alias("n_links"))

@@ -68,3 +68,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     return rules.judge(docs, rules.references(docs))
+
+
+@query
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rate of every document."""
+    from pyspark.sql import functions as F
+
+    from . import mixing
+
+    labels = mixing.domain_labels(read(spark, sf_dir, "labels"))
+    out = mixing.mixing_rates(read(spark, sf_dir, "documents"), labels, mixing.DOMAINS, anchor="clean")
+    return out.select(F.col("nid").alias("doc_id"), "n_tokens", "p_clean", "p_low", "p_toxic", "rate")
+
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes, spans and a digest of what is left, per document."""
+    from pyspark.sql import functions as F
+
+    from . import suffix
+
+    out = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

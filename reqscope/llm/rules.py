@@ -39,8 +39,8 @@ class RuleParams:
     top_words: int = 24
     min_chars: int = 200
     min_common_words: int = 80
-    max_class_distance: float = 0.22
-    max_word_distance: float = 0.42
+    max_class_distance: float = 0.30
+    max_word_distance: float = 0.36
     max_languages: int = 1000
     flush: int = 200_000  #: words that a task counts before it hands its partial counts on
 
