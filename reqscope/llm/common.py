@@ -9,14 +9,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .. import session
 
-__all__ = ["block_pairs", "dealt_rows", "each_group", "fresh", "materialize", "maybe_in", "read", "row_key"]
+__all__ = ["block_pairs", "dealt_rows", "drop_scratch", "each_group", "fresh", "materialize", "maybe_in", "read", "row_key"]
 
 #: Words of 64 bits in the filter of :func:`maybe_in`: 2 MB however large the data.
 FILTER_WORDS = 1 << 18
 
 
+#: Paths of the tables that :func:`materialize` wrote and :func:`drop_scratch` may delete.
+_SCRATCH: list[str] = []
+
+
+def materialize(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
+    """Cut lineage by a written table in the session's shared checkpoint folder."""
+    out = session.materialize(df, name)
+    if scratch:
+        _SCRATCH.extend(x.rpartition("/")[0] for x in out.inputFiles()[:1])
+    return out
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far.
+
+    For callers that have written every result they still need, as a pipeline
+    has between its stages: results that were not written cannot be read after.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -91,3 +91,25 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes and chunks, and a digest of what is left, per document."""
+    from pyspark.sql import functions as F
+
+    from . import chunks
+
+    out = chunks.dedup_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "n_repeated",
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector."""
+    from pyspark.sql import functions as F
+
+    from . import neighbours
+
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
