@@ -138,7 +138,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     seq, offset, used = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for k, s in enumerate(lengths.tolist()):
         change = 2 * (open_at[: size - s] - open_at[s:size]) + 2  # by gap s .. size - 1
-        change[0] = 1 - 2 * open_at[s] if s < size else 1
+        change[:1] = 1 - 2 * open_at[s]  # an exact fit closes a sequence
         change[open_at[s:size] == 0] = np.iinfo(np.int64).max
         best = int(change.argmin()) if len(change) else 0
         if not len(change) or change[best] > 2 * open_at[size - s] + 1:

@@ -224,6 +224,8 @@ def _sort_bucket(p: RepeatParams):
         gram, off = pdf["gram"].to_numpy().view(np.uint64), pdf["off"].to_numpy()
         group = B.mix(gram[which] + (off[which] - rank).astype(np.int64).view(np.uint64) * np.uint64(0x9E37))
         hit = np.flatnonzero(repeated_starts(buf, starts, group, p.length) & ~pdf["whole"].to_numpy()[which])
+        if not len(hit):
+            return pd.DataFrame({"doc": [], "th": [], "lo": [], "hi": []})
         new = np.ones(len(hit), bool)
         new[1:] = (which[hit][1:] != which[hit][:-1]) | (rank[hit][1:] != rank[hit][:-1] + 1)
         at = np.flatnonzero(new)
