@@ -1,6 +1,6 @@
 """Test-statistic expressions: Student-t tail, signed-rank null distribution, normal tail.
 
-The t tail and the exact signed-rank counts are closed forms written with
+The t tail and the exact signed-rank distribution are written with
 Spark higher-order functions, so they run inside whole-stage codegen. The
 normal tail needs ``erfc``, which Spark SQL lacks; it is built from the same
 kind of expressions (a positive power series and a continued fraction), so no
@@ -46,38 +46,23 @@ def t_two_sided_p(t, df) -> Column:
     return F.when(v >= 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - a)))
 
 
-def signed_rank_null_counts(m) -> Column:
-    """Number of sign assignments of ranks 1..m giving each W+ value 0..m(m+1)/2 (no ties)."""
-    m = _c(m).cast("int")
-    top = m * (m + 1) / 2
-    init = F.transform(F.sequence(F.lit(0), top.cast("int")), lambda i: F.when(i == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    return F.aggregate(
-        F.sequence(F.lit(1), m),
-        init,
-        lambda acc, r: F.transform(acc, lambda v, i: v + F.when(i >= r, F.element_at(acc, i - r + 1)).otherwise(F.lit(0).cast("bigint"))),
-    )
-
+def signed_rank_p(doubled_ranks, doubled_stat) -> Column:
+    """Two-sided exact p of the signed-rank statistic: ``min(1, 2 * P(W <= stat))``.
 
-def exact_signed_rank_p(stat, m) -> Column:
-    """Two-sided exact p for integer ranks: min(1, 2 * P(W <= stat))."""
-    counts = signed_rank_null_counts(m)
-    s = F.floor(_c(stat)).cast("int")
-    below = F.aggregate(F.slice(counts, 1, s + 1), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.least(F.lit(1.0), 2.0 * below.cast("double") / F.pow(F.lit(2.0), _c(m).cast("double")))
-
-
-def mask_enumeration_p(ranks, stat) -> Column:
-    """Two-sided p by enumerating all 2^m sign masks over the actual (mid-)ranks."""
-    r = _c(ranks)
-    m = F.size(r)
-    masks = F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2.0), m).cast("bigint") - 1)
-    wsum = lambda mask: F.aggregate(
-        F.sequence(F.lit(0), m - 1),
-        F.lit(0.0),
-        lambda a, i: a + F.when(F.floor(mask / F.pow(F.lit(2.0), i)) % 2 == 1, F.element_at(r, i + 1)).otherwise(F.lit(0.0)),
+    ``doubled_ranks`` are twice the mid-ranks of the non-zero differences, as
+    whole numbers, so that ties need no other rule. The distribution of W under
+    random signs is built by one convolution a rank, in probabilities: an array
+    of ``m * (m + 1) + 1`` doubles for m ranks.
+    """
+    r, stat = _c(doubled_ranks), _c(doubled_stat).cast("int")
+    top = F.aggregate(r, F.lit(0), lambda a, x: a + x)
+    start = F.transform(F.sequence(F.lit(0), top), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    spread = F.aggregate(
+        r, start,
+        lambda p, x: F.transform(p, lambda v, i: (v + F.when(i >= x, F.element_at(p, i - x + 1)).otherwise(F.lit(0.0))) / 2.0),
     )
-    hits = F.size(F.filter(masks, lambda mask: wsum(mask) <= _c(stat)))
-    return F.least(F.lit(1.0), 2.0 * hits / F.pow(F.lit(2.0), m.cast("double")))
+    below = F.aggregate(F.slice(spread, 1, stat + 1), F.lit(0.0), lambda a, x: a + x)
+    return F.least(F.lit(1.0), 2.0 * below)
 
 
 # Switch point between the series and the continued fraction, and their depths.

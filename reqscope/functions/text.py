@@ -16,7 +16,11 @@ WS_RUN = WS_CLASS + "+"
 # Numbers the label coercion accepts (optional blanks, sign, decimal, exponent).
 NUMERIC_RE = r"^[ \t\n\r\f\x0b]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f\x0b]*$"
 
-NULL_WORDS = ["", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "<NA>", "#N/A", "-NaN", "-nan"]
+# FIXED VALUES: words that the reference's CSV reader takes as missing.
+NULL_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
 
 
 def _c(col) -> Column:
@@ -55,13 +59,19 @@ def csv_null(col) -> Column:
 
 
 def clean_label(col) -> Column:
-    """Coerce to a number; anything non-numeric -> 0; fractions truncate toward zero."""
+    """Coerce to a number; anything non-numeric -> 0; fractions truncate toward zero.
+
+    The result is a BIGINT; a number outside its range counts as non-numeric.
+    The words ``true``/``false`` are no numbers here: a column that holds
+    nothing else is a boolean column and must be cast before (see
+    ``sources.labelled.boolean_words``).
+    """
     s = _c(col).cast("string")
     num = strip_ws(s).try_cast("double")
     return (
-        F.when(s.rlike(NUMERIC_RE) & num.isNotNull(), F.when(num < 0, F.ceil(num)).otherwise(F.floor(num)).try_cast("int"))
+        F.when(s.rlike(NUMERIC_RE) & (F.abs(num) < 2.0 ** 63), F.when(num < 0, F.ceil(num)).otherwise(F.floor(num)).cast("bigint"))
         .otherwise(F.lit(0))
-        .cast("int")
+        .cast("bigint")
     )
 
 

@@ -49,34 +49,41 @@ def length_histogram(
 ) -> DataFrame:
     """Equal-width histogram per (dataset, class, column), each class over its own range.
 
-    Two passes: min/max per group, then one bin id per row and a count per bin.
-    Both aggregates are partial + final, so a hot class never lands in one
-    task. Empty bins are emitted; a constant column uses [v - 0.5, v + 0.5].
+    One pass over the rows counts distinct values; ranges, bins and counts all
+    come from that small table. Edges are ``lo + k * (hi - lo) / bins`` (the
+    last one ``hi``). A value goes to the bin its scaled position says, moved
+    by one where the rounded edges say otherwise; the last bin holds its upper
+    edge too. Empty bins are emitted; a constant column uses [v - 0.5, v + 0.5].
     """
-    long = (
+    keys = [by, label, "col"]
+    values = (
         df.where(F.col(label).isin(0, 1))
+        .select(by, label, *cols)
         .unpivot([by, label], list(cols), "col", "value")
-        .withColumn("value", F.col("value").cast("double"))
-    )
-    keys = [by, label, "col"]
-    stats = (
-        long.groupBy(*keys)
-        .agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
-        .withColumn("lo", F.when(F.col("vmin") == F.col("vmax"), F.col("vmin") - 0.5).otherwise(F.col("vmin")))
-        .withColumn("hi", F.when(F.col("vmin") == F.col("vmax"), F.col("vmax") + 0.5).otherwise(F.col("vmax")))
-        .select(*keys, "lo", "hi")
-    )
-    binned = long.join(stats, keys).withColumn(
-        "bin",
-        F.least(F.floor((F.col("value") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1)).cast("int"),
+        .where(F.col("value").isNotNull())
+        .groupBy(*keys, F.col("value").cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("cnt"))
-    skeleton = stats.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    # groups are datasets x classes x columns; each gathers its distinct lengths only
+    groups = values.groupBy(*keys).agg(
+        F.min("value").alias("vmin"), F.max("value").alias("vmax"), F.collect_list(F.struct("value", "n")).alias("values"))
+    same = F.col("vmin") == F.col("vmax")
+    groups = groups.select(
+        *keys, "values", F.when(same, F.col("vmin") - 0.5).otherwise(F.col("vmin")).alias("lo"),
+        F.when(same, F.col("vmax") + 0.5).otherwise(F.col("vmax")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
+    edge = lambda k: F.when(k == bins, F.col("hi")).otherwise(k * width + F.col("lo"))
+    rows = groups.select(*keys, "lo", "hi", F.explode("values").alias("v")).select(*keys, "lo", "hi", "v.*")
+    first = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"), F.lit(bins - 1))
+    rows = rows.withColumn("b", first).withColumn("b", F.when(F.col("value") < edge(F.col("b")), F.col("b") - 1).otherwise(F.col("b")))
+    rows = rows.withColumn(
+        "bin", F.when((F.col("value") >= edge(F.col("b") + 1)) & (F.col("b") < bins - 1), F.col("b") + 1).otherwise(F.col("b")))
+    counts = rows.groupBy(*keys, "bin").agg(F.sum("n").alias("cnt"))
+    skeleton = groups.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return skeleton.join(counts, keys + ["bin"], "left").select(
         *keys,
         "bin",
-        (F.col("lo") + F.col("bin") * width).alias("bin_lo"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
+        edge(F.col("bin")).alias("bin_lo"),
+        edge(F.col("bin") + 1).alias("bin_hi"),
         F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("count"),
     )

@@ -76,7 +76,16 @@ def metric_bars(summary: DataFrame, keys=KEY3, metrics=("f1", "mcc", "cohen_kapp
 
 
 def reason_pivot(reason_perf: DataFrame, keys=KEY3, value: str = "f1") -> DataFrame:
-    """Reason x model matrix of one metric (columns = display names, fixed list)."""
-    df = with_display(reason_perf)
-    names = [DISPLAY_NAME[m] for m in MODEL_ORDER]
-    return df.groupBy(*keys, "reason").pivot("model_display", names).agg(F.first(value))
+    """Reason x model matrix of one metric, a column for each model that is there.
+
+    Models in their fixed order come first, others after them by name; the list
+    of distinct names (a row per model) goes to the driver, as in any pivot.
+    Two values for one cell are an error, raised when the result is computed.
+    """
+    cell = [*keys, "reason", "model_display", "model_order"]
+    once = with_display(reason_perf).groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("v"))
+    twice = F.raise_error(F.concat(F.lit("two values for one cell of the reason matrix: "), F.concat_ws(", ", *keys, "reason", "model_display")))
+    once = once.withColumn("v", F.when(F.col("n") > 1, twice.cast("double")).otherwise(F.col("v")))
+    found = with_display(reason_perf.select("model").distinct()).select("model_display", "model_order").distinct().collect()
+    names = [r[0] for r in sorted(found, key=lambda r: (r[1] is None, r[1] or 0, r[0] or "")) if r[0] is not None]
+    return once.groupBy(*keys, "reason").pivot("model_display", names).agg(F.max("v"))

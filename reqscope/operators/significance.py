@@ -15,21 +15,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ALPHA, ENCODER_ORDER, ENCODER_SHORT_NAMES, KEY3, SIGNIFICANCE_SETTINGS
-from ..functions.stats import exact_signed_rank_p, mask_enumeration_p, normal_two_sided_p, t_two_sided_p
+from ..functions.stats import normal_two_sided_p, signed_rank_p, t_two_sided_p
 from ..functions.text import fixed3, pvalue_text, yes_no
 
-EXACT_MAX_UNTIED = 50
-EXACT_MAX_TIED = 13
 
+def per_seed_values(results: DataFrame, metric: str, model_col: str = "model", keys=KEY3, unique: bool = False) -> DataFrame:
+    """Mean of ``metric`` per (keys, seed, model); rows with NULL keys/seed/value dropped.
 
-def per_seed_values(results: DataFrame, metric: str, model_col: str = "model", keys=KEY3) -> DataFrame:
-    """Mean of ``metric`` per (keys, seed, model); rows with NULL keys/seed/value dropped."""
-    return (
-        results.na.drop(subset=list(keys) + ["seed", model_col])
+    ``unique`` asserts that there is one value each: a repeated one is an error,
+    raised when the result is computed.
+    """
+    found = (
+        results.na.drop(subset=list(keys) + ["seed", model_col, metric])
         .groupBy(*keys, "seed", model_col)
-        .agg(F.avg(metric).alias("v"))
-        .where(F.col("v").isNotNull())
+        .agg(F.avg(metric).alias("v"), F.count(F.lit(1)).alias("n_values"))
     )
+    if unique:
+        twice = F.raise_error(F.concat(F.lit("more than one value for "), F.concat_ws(", ", *keys, "seed", model_col)))
+        found = found.withColumn("v", F.when(F.col("n_values") > 1, twice.cast("double")).otherwise(F.col("v")))
+    return found.drop("n_values")
 
 
 def paired_differences(values: DataFrame, pairs: list[tuple[str, str]], model_col: str = "model", keys=KEY3) -> DataFrame:
@@ -101,25 +105,23 @@ def with_short_names(results: DataFrame, short_names=ENCODER_SHORT_NAMES) -> Dat
 def wilcoxon_tests(results: DataFrame, metric: str = "f1", order=ENCODER_ORDER, force_normal: bool = False) -> DataFrame:
     """Wilcoxon signed-rank tests for listed pairs in listed order, all settings.
 
-    ``results`` carries ``model`` already mapped to the listed names. Zero
-    differences are dropped (``n_pairs`` counts them), mid-ranks of |d| come
-    from two windows over the (setting, pair) group, stat = min(W+, W-).
-    p: no ties and no zeros with m <= 50 exact null counts; ties or zeros with m <= 13 all sign
-    masks over the mid-ranks; otherwise (or ``force_normal``) normal with
-    tie correction. ``method`` records which.
+    ``results`` carries ``model`` already mapped to the listed names, one value
+    per (setting, seed, model). Zero differences are dropped (``n_pairs`` counts
+    them), mid-ranks of |d| come from two windows over the (setting, pair)
+    group (a row per seed), stat = min(W+, W-). The p-value is exact whatever
+    the number of pairs and ties; ``force_normal`` asks for the normal form
+    with tie correction. ``method`` records which.
     """
     pairs = list(combinations(order, 2))
-    diffs = paired_differences(per_seed_values(results, metric), pairs)
+    diffs = paired_differences(per_seed_values(results, metric, unique=True), pairs)
     grp = KEY3 + ["model_a", "model_b"]
     # zero differences get their own window partition, so ranks cover non-zero |d| only
-    nz = F.col("d") != 0
     part = grp + ["nz"]
     ranked = (
-        diffs.withColumn("nz", nz)
+        diffs.withColumn("nz", F.col("d") != 0)
         .withColumn("ad", F.abs("d"))
-        .withColumn("r", F.rank().over(Window.partitionBy(*part).orderBy("ad")) + (F.count(F.lit(1)).over(Window.partitionBy(*part, "ad")) - 1) / 2.0)
         .withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(*part, "ad")))
-        .withColumn("m_part", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+        .withColumn("r2", (2 * F.rank().over(Window.partitionBy(*part).orderBy("ad")) + F.col("t") - 1).cast("int"))
     )
     nzc = F.col("nz")
     stats = ranked.groupBy(*grp).agg(
@@ -128,37 +130,20 @@ def wilcoxon_tests(results: DataFrame, metric: str = "f1", order=ENCODER_ORDER,
         F.avg("b").alias("mean_b"),
         F.max("ad").alias("max_abs_d"),
         F.count_if(nzc).alias("m"),
-        F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
-        F.count_distinct(F.when(nzc, F.col("ad"))).alias("n_distinct"),
+        F.sum(F.when(F.col("d") > 0, F.col("r2")).otherwise(0)).alias("plus2"),
+        F.sum(F.when(F.col("d") < 0, F.col("r2")).otherwise(0)).alias("minus2"),
         # tie term sum(t^3 - t): a value tied t times contributes (t^2 - 1) on each of its t rows
         F.sum(F.when(nzc, F.col("t") * F.col("t") - 1).otherwise(0)).alias("tie_term"),
-        # ranks are only gathered when the mask enumeration can use them (m <= 13)
-        F.collect_list(F.when(nzc & (F.col("m_part") <= EXACT_MAX_TIED), F.col("r"))).alias("ranks"),
+        F.collect_list(F.when(nzc, F.col("r2"))).alias("ranks2"),  # a rank per seed
     )
-    m, stat = F.col("m"), F.least(F.col("w_plus"), F.col("w_minus"))
-    tied = F.col("n_distinct") < m
-    zeros = F.col("n_pairs") > m  # zero differences were dropped
+    m, stat2 = F.col("m"), F.least("plus2", "minus2")
     mean_w = m * (m + 1) / 4.0
     var_w = m * (m + 1) * (2 * m + 1) / 24.0 - F.col("tie_term") / 48.0
-    z = (stat - mean_w) / F.nullif(F.sqrt(var_w), F.lit(0.0))
-    method = (
-        F.when(F.lit(force_normal), F.lit("normal"))
-        .when(~tied & ~zeros & (m <= EXACT_MAX_UNTIED), F.lit("exact"))
-        .when(m <= EXACT_MAX_TIED, F.lit("exact_masks"))
-        .otherwise(F.lit("normal"))
-    )
+    z = (stat2 / 2.0 - mean_w) / F.nullif(F.sqrt(var_w), F.lit(0.0))
+    p = normal_two_sided_p(z) if force_normal else signed_rank_p("ranks2", stat2)
     tested = stats.select(
-        *grp, "n_pairs", "mean_a", "mean_b", "max_abs_d", stat.alias("stat"),
-        F.when(m > 0, method).alias("method"), "ranks", m.alias("m"), z.alias("z"),
-    )
-    tested = tested.withColumn(
-        "p_exact",
-        F.when(F.col("method") == "exact", exact_signed_rank_p("stat", "m"))
-        .when(F.col("method") == "exact_masks", mask_enumeration_p("ranks", "stat")),
-    ).withColumn("p_normal", normal_two_sided_p(F.when(F.col("method") == "normal", F.col("z"))))
-    tested = tested.select(*grp, "n_pairs", "mean_a", "mean_b", "max_abs_d", "stat", "method",
-                           F.coalesce("p_exact", "p_normal").alias("p"))
+        *grp, "n_pairs", "mean_a", "mean_b", "max_abs_d", (stat2 / 2.0).alias("stat"),
+        F.when(m > 0, F.lit("normal" if force_normal else "exact")).alias("method"), F.when(m > 0, p).alias("p"))
 
     skel = _settings_skeleton(results, pairs)
     j = skel.join(tested, grp, "left")

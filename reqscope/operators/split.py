@@ -8,8 +8,8 @@ rest of the class. Membership: inside a class, rows ordered by
 
 Scale: no window ever ranks a whole class. Rows are hashed into buckets (the
 leading hex digits of the md5); bucket counts (at most 16^digits per class)
-give running sums, whole buckets below the boundary bucket go to test, and
-only the boundary bucket of each class is ranked row by row.
+give running sums, and rows are joined with them and ranked by bucket. The
+running sums over a class are the only work by class, on at most 16^digits rows.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ def quotas_from_counts(counts: DataFrame, groups, label: str = "label", test_siz
     n = F.sum("n_c").over(wg)
     q = counts.withColumn("n", n).withColumn("n_test", F.ceil(F.lit(test_size) * F.col("n")).cast("bigint"))
     q = q.withColumn("n_train", F.col("n") - F.col("n_test"))
-    q = q.withColumn("cont", F.col("n_c") * F.col("n_train") / F.col("n"))
-    q = q.withColumn("fl", F.floor("cont")).withColumn("rem", F.col("cont") - F.col("fl"))
+    # exact integers: the product of two counts does not fit a BIGINT, and a double would make false ties
+    whole = "cast(n_c as decimal(19, 0)) * cast(n_train as decimal(19, 0))"
+    q = q.withColumn("fl", F.expr(f"({whole}) div cast(n as decimal(19, 0))").cast("bigint"))
+    q = q.withColumn("rem", F.expr(f"({whole}) % cast(n as decimal(19, 0))"))
     q = q.withColumn("need", F.col("n_train") - F.sum("fl").over(wg))
     q = q.withColumn("rk", F.row_number().over(wg.orderBy(F.col("rem").desc(), F.col(label))))
     train_c = F.col("fl") + F.when(F.col("rk") <= F.col("need"), 1).otherwise(0)
@@ -67,23 +69,13 @@ def stratified_split(
     quotas = quotas_from_counts(bc.groupBy(*g, label).agg(F.sum("bn").alias("n_c")), g, label, test_size)
     wc = Window.partitionBy(*g, label).orderBy("_b")
     bc = bc.withColumn("cum", F.sum("bn").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
-    bc = bc.join(quotas, g + [label])
-    boundary = (
-        bc.where((F.col("cum") >= F.col("test_c")) & (F.col("cum") - F.col("bn") < F.col("test_c")))
-        .select(*g, label, F.col("_b").alias("_bb"), (F.col("test_c") - (F.col("cum") - F.col("bn"))).alias("_take"))
-    )
-    j = rows.join(boundary, g + [label], "left")
-    # a class with test_c = 0 has no boundary: every row is train
-    in_boundary = F.col("_b") == F.col("_bb")
-    ranked_part = j.where(in_boundary).withColumn(
-        "_r", F.row_number().over(Window.partitionBy(*g, label).orderBy("_h", key))
-    ).withColumn("_test", F.col("_r") <= F.col("_take")).drop("_r")
-    rest = j.where(~in_boundary | F.col("_bb").isNull()).withColumn(
-        "_test", F.coalesce(F.col("_b") < F.col("_bb"), F.lit(False))
-    )
-    both = ranked_part.unionByName(rest)
-    return both.withColumn(out, F.when(F.col("_test"), F.lit(test_name)).otherwise(F.lit(train_name))).drop(
-        "_h", "_b", "_bb", "_take", "_test"
+    bc = bc.join(quotas, g + [label]).select(*g, label, "_b", (F.col("cum") - F.col("bn")).alias("_before"), "test_c")
+    # one verdict row per bucket: the join and the rank inside a bucket share the bucket's key, so no
+    # exchange or sort ever gathers a class; a bucket is test up to the class quota
+    rank = F.row_number().over(Window.partitionBy(*g, label, "_b").orderBy("_h", key))
+    j = rows.join(bc, g + [label, "_b"]).withColumn("_test", F.col("_before") + rank <= F.col("test_c"))
+    return j.withColumn(out, F.when(F.col("_test"), F.lit(test_name)).otherwise(F.lit(train_name))).drop(
+        "_h", "_b", "_before", "test_c", "_test"
     )
 
 
@@ -107,6 +99,16 @@ def train_val_test_split(df: DataFrame, seeds=SEEDS, test_size: float = TEST_SIZ
     return test.unionByName(rest)
 
 
-def cross_split(df: DataFrame, seeds=SEEDS, val_size: float = VAL_SIZE_FROM_TRAIN) -> DataFrame:
-    """The training set split 87.5/12.5 train/val per seed (the other dataset is the whole test set)."""
-    return stratified_split(with_seeds(df, seeds), ["dataset"], test_size=val_size, salt="val", test_name="val")
+def cross_split(df: DataFrame, pairs, seeds=SEEDS, val_size: float = VAL_SIZE_FROM_TRAIN) -> DataFrame:
+    """Per (training set, test set) pair and seed the training set split 87.5/12.5 train/val, and the whole test set.
+
+    Adds ``train_dataset``, ``test_dataset``, ``seed`` and ``part``; ``pairs`` is a short fixed list.
+    """
+    def role(own: int, other: int, names) -> DataFrame:
+        arr = F.array(*[F.struct(F.lit(p[own]).alias("_own"), F.lit(p[other]).alias("_other")) for p in pairs])
+        rows = with_seeds(df, seeds).withColumn("_p", F.explode(arr)).where(F.col("_p._own") == F.col("dataset"))
+        return rows.withColumns({names[own]: F.col("_p._own"), names[other]: F.col("_p._other")}).drop("_p")
+
+    names = ("train_dataset", "test_dataset")
+    fit = stratified_split(role(0, 1, names), list(names), test_size=val_size, salt="val", test_name="val")
+    return fit.unionByName(role(1, 0, names).withColumn("part", F.lit("test")))

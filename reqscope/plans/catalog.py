@@ -119,14 +119,18 @@ stats AS (SELECT dataset, label, col,
                  CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
                  CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi
           FROM long GROUP BY dataset, label, col),
-binned AS (SELECT l.dataset, l.label, l.col,
-                  CAST(least(floor((l.value - s.lo) * 30 / (s.hi - s.lo)), 29) AS INTEGER) AS bin
-           FROM long l JOIN stats s USING (dataset, label, col)),
+at0 AS (SELECT l.dataset, l.label, l.col, l.value, s.lo, s.hi, (s.hi - s.lo) / 30 AS width,
+               CAST(least(floor((l.value - s.lo) / (s.hi - s.lo) * 30), 29) AS INTEGER) AS b
+        FROM long l JOIN stats s USING (dataset, label, col)),
+at1 AS (SELECT *, CASE WHEN value < b * width + lo THEN b - 1 ELSE b END AS b1 FROM at0),
+binned AS (SELECT dataset, label, col,
+                  CASE WHEN value >= (CASE WHEN b1 + 1 = 30 THEN hi ELSE (b1 + 1) * width + lo END) AND b1 < 29 THEN b1 + 1 ELSE b1 END AS bin
+           FROM at1),
 counts AS (SELECT dataset, label, col, bin, count(*) AS cnt FROM binned GROUP BY ALL),
 skel AS (SELECT s.*, CAST(b.range AS INTEGER) AS bin FROM stats s CROSS JOIN range(0, 30) b)
 SELECT k.dataset, k.label, k.col, k.bin,
-       round(k.lo + k.bin * ((k.hi - k.lo) / 30), 6) AS bin_lo,
-       round(k.lo + (k.bin + 1) * ((k.hi - k.lo) / 30), 6) AS bin_hi,
+       round(k.bin * ((k.hi - k.lo) / 30) + k.lo, 6) AS bin_lo,
+       round(CASE WHEN k.bin = 29 THEN k.hi ELSE (k.bin + 1) * ((k.hi - k.lo) / 30) + k.lo END, 6) AS bin_hi,
        CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
 FROM skel k LEFT JOIN counts c USING (dataset, label, col, bin)""",
 )
@@ -245,14 +249,14 @@ MODEL_DIM_SQL = "(VALUES " + ", ".join(
 ) + ") AS md(model, model_order, display)"
 
 
-def _results(spark, sf_dir):
-    return evaluate.run_results(fixtures.instances(spark, sf_dir))
+def _results(spark, sf_dir, models=None):
+    """Run results; ``models`` names the only models whose grid cells are made at all."""
+    cuts = fixtures.model_cuts()
+    return evaluate.run_results(fixtures.instances(spark, sf_dir, {m: cuts[m] for m in models} if models else None))
 
 
 def _summary(spark, sf_dir, models=None, by_variant=False):
-    res = _results(spark, sf_dir)
-    if models is not None:
-        res = ranking.filter_models(res, models)
+    res = _results(spark, sf_dir, models)
     if by_variant:
         return ranking.summarize(res, ["setting", "variant", "train_dataset", "test_dataset", "model"])
     return ranking.summarize(ranking.original_only(res))
@@ -273,6 +277,15 @@ def q_run_results(spark, sf_dir):
     return rounded(_results(spark, sf_dir))
 
 
+# A report is made for every neural run, and for the classical models' runs of one seed on the original text
+REPORTED_SQL = f"(model NOT IN {S.in_list(CLASSICAL)} OR (seed = 42 AND variant = 'original'))"
+
+
+def _reported(spark, sf_dir):
+    return fixtures.instances(spark, sf_dir).where(
+        ~F.col("model").isin(*CLASSICAL) | ((F.col("seed") == 42) & (F.col("variant") == "original")))
+
+
 @register(
     "confusion_cells",
     f"""WITH {S.RESULTS}
@@ -280,11 +293,11 @@ SELECT {S.RUN_KEYS}, true_label, pred_label, cnt FROM (
   SELECT {S.RUN_KEYS}, 0 AS true_label, 0 AS pred_label, tn AS cnt FROM results UNION ALL
   SELECT {S.RUN_KEYS}, 0, 1, fp FROM results UNION ALL
   SELECT {S.RUN_KEYS}, 1, 0, fn FROM results UNION ALL
-  SELECT {S.RUN_KEYS}, 1, 1, tp FROM results) t WHERE seed = 42""",
+  SELECT {S.RUN_KEYS}, 1, 1, tp FROM results) t WHERE {REPORTED_SQL}""",
 )
 def q_confusion_cells(spark, sf_dir):
-    """J4 + I15: 2x2 cells for the seed-42 runs."""
-    conf = evaluate.confusion(fixtures.instances(spark, sf_dir).where(F.col("seed") == 42), evaluate.RUN_KEYS)
+    """J4 + I15: 2x2 cells of the reported runs."""
+    conf = evaluate.confusion(_reported(spark, sf_dir), evaluate.RUN_KEYS)
     return evaluate.confusion_cells(conf, evaluate.RUN_KEYS)
 
 
@@ -306,7 +319,7 @@ def _report_sql():
     ]
     sel = " UNION ALL ".join(
         f"SELECT {S.RUN_KEYS}, {rn} AS row_name, round(CAST({p} AS DOUBLE), 6) AS precision, round(CAST({r} AS DOUBLE), 6) AS recall, "
-        f"round(CAST({f} AS DOUBLE), 6) AS f1, CAST({s} AS BIGINT) AS support FROM runs WHERE seed = 42"
+        f"round(CAST({f} AS DOUBLE), 6) AS f1, CAST({s} AS BIGINT) AS support FROM runs WHERE {REPORTED_SQL}"
         for rn, p, r, f, s in parts
     )
     return f"WITH {S.RESULTS}\n{sel}"
@@ -314,8 +327,8 @@ def _report_sql():
 
 @register("classification_report", _report_sql())
 def q_classification_report(spark, sf_dir):
-    """D5a + I15: per-class report rows for the seed-42 runs."""
-    conf = evaluate.confusion(fixtures.instances(spark, sf_dir).where(F.col("seed") == 42), evaluate.RUN_KEYS)
+    """D5a + I15: per-class report rows of the reported runs."""
+    conf = evaluate.confusion(_reported(spark, sf_dir), evaluate.RUN_KEYS)
     return evaluate.classification_report(conf, evaluate.RUN_KEYS, digits=6)
 
 
@@ -381,10 +394,8 @@ paper AS (SELECT s.*, coalesce(md.display, s.model) AS model_display, md.model_o
 
 
 def _paper(spark, sf_dir):
-    # one summary aggregate; the classical and transformer parts are split after it,
-    # so both union branches reuse the same exchange instead of recomputing the runs
-    s = _summary(spark, sf_dir)
-    return ranking.paper_summary(ranking.filter_models(s, CLASSICAL), ranking.filter_models(s, NEURAL))
+    # one aggregate over the whole grid: both model families come from one expansion of the rows
+    return ranking.paper_summary(ranking.filter_models(_summary(spark, sf_dir), CLASSICAL + NEURAL))
 
 
 def _paper_select(where: str = "") -> str:
@@ -458,12 +469,14 @@ def q_metric_bars(spark, sf_dir):
     return rounded(ranking.metric_bars(_paper(spark, sf_dir)))
 
 
+# a model that the fixed list does not have must get its column too
+HEATMAP_CUTS = {**fixtures.CLASSICAL_CUTS, **fixtures.NEURAL_CUTS, "GBT": "3a"}
+
+
 def _pivot_sql():
-    cols = ", ".join(
-        f"round(max(CASE WHEN model_display = {S._sql_str(DISPLAY_NAME[m])} THEN f1 END), 6) AS \"{DISPLAY_NAME[m]}\""
-        for m in MODEL_ORDER
-    )
-    return f"""WITH {S.INSTANCES},
+    names = [*[DISPLAY_NAME[m] for m in MODEL_ORDER], "GBT"]
+    cols = ", ".join(f"round(max(CASE WHEN model_display = {S._sql_str(n)} THEN f1 END), 6) AS \"{n}\"" for n in names)
+    return f"""WITH {S.INSTANCES.replace(S.grid_values(), S.grid_values(HEATMAP_CUTS))},
 ex AS (SELECT {KEY4_SQL}, y_true, y_pred, unnest(list_distinct({S.parse_reasons_sql('reasons')})) AS reason
        FROM instances WHERE variant = 'original'),
 conf AS (SELECT {KEY4_SQL}, reason, {S.confusion_sql()}, count(*) AS n FROM ex GROUP BY ALL),
@@ -474,8 +487,8 @@ SELECT {KEY3_SQL}, reason, {cols} FROM named GROUP BY {KEY3_SQL}, reason"""
 
 @register("reason_heatmap", _pivot_sql())
 def q_reason_heatmap(spark, sf_dir):
-    """Reason x model F1 matrix per setting."""
-    inst = ranking.original_only(fixtures.instances(spark, sf_dir))
+    """Reason x model F1 matrix per setting, over the models that are there."""
+    inst = ranking.original_only(fixtures.instances(spark, sf_dir, HEATMAP_CUTS))
     return rounded(ranking.reason_pivot(evaluate.reason_performance(inst)))
 
 
@@ -522,7 +535,7 @@ FROM agg"""
 
 
 def _classical_original(spark, sf_dir):
-    return ranking.original_only(ranking.filter_models(_results(spark, sf_dir), CLASSICAL))
+    return ranking.original_only(_results(spark, sf_dir, CLASSICAL))
 
 
 @register("paired_t_tests", T_SQL)
@@ -531,7 +544,13 @@ def q_paired_t_tests(spark, sf_dir):
     return rounded(significance.paired_t_tests(_classical_original(spark, sf_dir), "f1", models=CLASSICAL))
 
 
-def _wilcoxon_sql(with_table: bool = False) -> str:
+# FIXED VALUES (fixture recipe): settings whose values are made tied, equal or scarce, so that every branch of the test is reached
+DEGENERATE_SQL = (f"CASE WHEN setting = 'cross' AND train_dataset = '{fixtures.DATASET_EVEN}' THEN floor(f1 * 10) / 10 "
+                  f"WHEN setting = 'intra' AND train_dataset = '{fixtures.DATASET_ODD}' THEN 0.5 ELSE f1 END")
+SCARCE_SQL = f"(setting <> 'cross' OR train_dataset <> '{fixtures.DATASET_ODD}' OR seed = 42)"
+
+
+def _wilcoxon_sql(with_table: bool = False, degenerate: bool = False) -> str:
     short = "(VALUES " + ", ".join(f"({S._sql_str(v)}, {S._sql_str(k)})" for k, v in ENCODER_SHORT_NAMES.items()) + ") AS sn(model, short)"
     pairs = list(combinations(ENCODER_ORDER, 2))
     skel = "(VALUES " + ", ".join(
@@ -541,8 +560,8 @@ def _wilcoxon_sql(with_table: bool = False) -> str:
     pdim = "(VALUES " + ", ".join(f"({S._sql_str(a)}, {S._sql_str(b)})" for a, b in pairs) + ") AS pd(model_a, model_b)"
     grp = f"{KEY3_SQL}, model_a, model_b"
     body = f"""WITH {S.RESULTS},
-named AS (SELECT r.setting, r.train_dataset, r.test_dataset, r.seed, sn.short AS model, r.f1
-          FROM results r JOIN {short} USING (model)),
+named AS (SELECT r.setting, r.train_dataset, r.test_dataset, r.seed, sn.short AS model, {DEGENERATE_SQL if degenerate else 'r.f1'} AS f1
+          FROM results r JOIN {short} USING (model){' WHERE ' + SCARCE_SQL if degenerate else ''}),
 vals AS (SELECT {KEY3_SQL}, seed, model, avg(f1) AS v FROM named
   WHERE setting IS NOT NULL AND train_dataset IS NOT NULL AND test_dataset IS NOT NULL AND seed IS NOT NULL
   GROUP BY {KEY3_SQL}, seed, model HAVING avg(f1) IS NOT NULL),
@@ -555,15 +574,14 @@ nz AS (SELECT {grp}, d, abs(d) AS ad,
        FROM pairs WHERE d <> 0),
 w AS (SELECT {grp}, count(*) AS m, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS wm,
              count(DISTINCT ad) AS nd FROM nz GROUP BY ALL),
-masks AS (SELECT {grp}, unnest(range(0, CAST(pow(2, m) AS BIGINT))) AS mask FROM w WHERE m <= 13),
+masks AS (SELECT {grp}, unnest(range(0, CAST(pow(2, m) AS BIGINT))) AS mask FROM w),
 mw AS (SELECT k.setting, k.train_dataset, k.test_dataset, k.model_a, k.model_b, k.mask,
               sum(CASE WHEN (k.mask >> CAST(z.idx AS BIGINT)) & 1 = 1 THEN z.r ELSE 0 END) AS ws
        FROM masks k JOIN nz z USING ({grp}) GROUP BY ALL),
 pe AS (SELECT mw.setting, mw.train_dataset, mw.test_dataset, mw.model_a, mw.model_b, count_if(mw.ws <= least(w.wp, w.wm)) AS hits
        FROM mw JOIN w USING ({grp}) GROUP BY ALL),
 tested AS (SELECT w.*, least(w.wp, w.wm) AS stat,
-                  CASE WHEN w.nd = w.m AND ps.n_pairs = w.m AND w.m <= 50 THEN 'exact' WHEN w.m <= 13 THEN 'exact_masks' ELSE 'normal' END AS method,
-                  least(1.0, 2.0 * pe.hits / pow(2, w.m)) AS p
+                  'exact' AS method, least(1.0, 2.0 * pe.hits / pow(2, w.m)) AS p
            FROM w JOIN pstats ps USING ({grp}) LEFT JOIN pe USING ({grp})),
 out AS (
 SELECT sk.setting, sk.train_dataset, sk.test_dataset, sk.setting_label, 'f1' AS metric, sk.model_a, sk.model_b,
@@ -592,7 +610,7 @@ FROM out"""
 
 
 def _wilcoxon(spark, sf_dir):
-    named = significance.with_short_names(ranking.filter_models(_results(spark, sf_dir), list(ENCODER_SHORT_NAMES.values())))
+    named = significance.with_short_names(_results(spark, sf_dir, list(ENCODER_SHORT_NAMES.values())))
     return significance.wilcoxon_tests(named, "f1")
 
 
@@ -602,6 +620,13 @@ def q_wilcoxon_tests(spark, sf_dir):
     return rounded(_wilcoxon(spark, sf_dir))
 
 
+@register("wilcoxon_degenerate", _wilcoxon_sql(degenerate=True))
+def q_wilcoxon_degenerate(spark, sf_dir):
+    """E4 on tied, zero, identical and too few differences."""
+    named = significance.with_short_names(_results(spark, sf_dir, list(ENCODER_SHORT_NAMES.values())))
+    return rounded(significance.wilcoxon_tests(named.where(SCARCE_SQL).withColumn("f1", F.expr(DEGENERATE_SQL)), "f1"))
+
+
 @register("significance_table", _wilcoxon_sql(with_table=True))
 def q_significance_table(spark, sf_dir):
     """E6 + H8 + H9: the significance cross-tab content in listed order."""
@@ -637,6 +662,9 @@ def q_split_tvt(spark, sf_dir):
         F.col("seed").cast("int").alias("seed"), "dataset", "req_id", "label", "part")
 
 
+OTHER_SQL = f"CASE WHEN dataset = '{fixtures.DATASET_EVEN}' THEN '{fixtures.DATASET_ODD}' ELSE '{fixtures.DATASET_EVEN}' END"
+
+
 @register(
     "split_cross",
     f"""WITH {S.REQ},
@@ -644,12 +672,13 @@ def q_split_tvt(spark, sf_dir):
 lab AS (SELECT req_id, dataset, label FROM req),
 lab_seeds AS (SELECT l.*, s.seed FROM lab l CROSS JOIN seeds s),
 {S.split_sql('lab_seeds', 0.125, 'val', 'split', test_name='val')}
-SELECT seed, dataset, req_id, label, part FROM split""",
+SELECT seed, dataset AS train_dataset, {OTHER_SQL} AS test_dataset, req_id, label, part FROM split
+UNION ALL SELECT seed, {OTHER_SQL}, dataset, req_id, label, 'test' FROM lab_seeds""",
 )
 def q_split_cross(spark, sf_dir):
-    """Each training set split 87.5/12.5 train/val per seed (the other set is the test set)."""
-    return split.cross_split(_labelled(spark, sf_dir)).select(
-        F.col("seed").cast("int").alias("seed"), "dataset", "req_id", "label", "part")
+    """Each training set split 87.5/12.5 train/val per seed, with the other set as the whole test set."""
+    return split.cross_split(_labelled(spark, sf_dir), classical.DEFAULT_CROSS).select(
+        F.col("seed").cast("int").alias("seed"), "train_dataset", "test_dataset", "req_id", "label", "part")
 
 
 @register(
@@ -684,10 +713,15 @@ def q_corpus_term_df(spark, sf_dir):
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").cast("bigint").alias("total_cnt")).where(F.col("df") >= 2)
 
 
+def _nb_requirements(spark, sf_dir):
+    """Labelled rows whose label follows the text, so that a model has something to learn."""
+    return fixtures.requirements(spark, sf_dir, fixtures.TEXT_LABEL_SQL)
+
+
 @register("tfidf_vocabulary", f"WITH {S.NB}\nSELECT tset, term, df, n_docs, round(idf, 6) AS idf FROM vocab")
 def q_tfidf_vocabulary(spark, sf_dir):
     """I4: per training set the kept terms (min_df 2, max_df 0.95) with df and smoothed idf."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
     return rounded(data.vocab)
 
 
@@ -698,7 +732,7 @@ SELECT tset, req_id, count(*) AS n_terms, round(sum(x), 6) AS sum_x, round(sum(x
 )
 def q_tfidf_row_norms(spark, sf_dir):
     """I4: per training row of each set the kept-term count, weight sum and squared norm (= 1)."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
     x = data.train_x()
     return rounded(x.groupBy("tset", "req_id").agg(
         F.count(F.lit(1)).alias("n_terms"), F.sum("x").alias("sum_x"), F.sum(F.col("x") * F.col("x")).alias("sum_x2")))
@@ -707,16 +741,37 @@ def q_tfidf_row_norms(spark, sf_dir):
 @register("nb_class_scores", f"WITH {S.NB}\nSELECT tset, req_id, variant, label, round(score, 6) AS score FROM scores")
 def q_nb_class_scores(spark, sf_dir):
     """I5 + C7: naive Bayes class scores of every scored (training set, row, variant)."""
-    return rounded(classical.nb_scores(classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)))
+    return rounded(classical.nb_scores(classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)))
 
 
 @register("nb_run_results", f"WITH {S.NB}\nSELECT {S.RUN_KEYS}, {S.round_cols(METRICS)}, tn, fp, fn, tp, n_test FROM nb_results")
 def q_nb_run_results(spark, sf_dir):
     """I10-I12 + C1 + C4: text -> split -> TF-IDF -> naive Bayes -> metrics for every run of the grid."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
     return rounded(evaluate.run_results(classical.nb_instances(data)))
 
 
+@register("nb_instances", f"WITH {S.NB}\nSELECT setting, variant, train_dataset, test_dataset, model, seed, req_id, text, y_true, y_pred, reasons FROM nb_instances")
+def q_nb_instances(spark, sf_dir):
+    """T3 + C1 + C4: prediction rows of the fitted naive Bayes over the whole grid, with their texts."""
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
+    return classical.nb_instances(data, with_text=True)
+
+
+@register(
+    "nb_reason_performance",
+    f"""WITH {S.NB},
+ex AS (SELECT {KEY4_SQL}, y_true, y_pred, unnest(list_distinct({S.parse_reasons_sql('reasons')})) AS reason
+       FROM nb_instances WHERE variant = 'original'),
+conf AS (SELECT {KEY4_SQL}, reason, {S.confusion_sql()}, count(*) AS n FROM ex GROUP BY ALL)
+SELECT {KEY4_SQL}, reason, n, {S.metrics_sql()} FROM conf""",
+)
+def q_nb_reason_performance(spark, sf_dir):
+    """D7a/T5 on really fitted predictions."""
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
+    return rounded(evaluate.reason_performance(ranking.original_only(classical.nb_instances(data))))
+
+
 @register(
     "nb_summary_by_variant",
     f"""WITH {S.NB},
@@ -725,7 +780,7 @@ SELECT {VKEYS}, {S.round_cols(S.SUMMARY_COLS)} FROM summary""",
 )
 def q_nb_summary_by_variant(spark, sf_dir):
     """D6a over the naive Bayes grid, by text variant (the ablation of trigger terms)."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
     res = evaluate.run_results(classical.nb_instances(data))
     return rounded(ranking.summarize(res, ["setting", "variant", "train_dataset", "test_dataset", "model"]))
 
@@ -827,14 +882,14 @@ from . import ml  # noqa: E402
 @register("ml_nb_run_results", ORACLE["nb_run_results"])
 def q_ml_nb_run_results(spark, sf_dir):
     """I6-I12 path with Spark ML NaiveBayes on SparseVector TF-IDF; must equal the relational NB."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
     return rounded(evaluate.run_results(ml.ml_instances(data, ["MultinomialNB"])))
 
 
 @register("svm_run_results")
 def q_svm_run_results(spark, sf_dir):
     """I6 + I9-I12: LinearSVC per training set over the whole grid (rows-only check)."""
-    data = classical.ClassicalData(fixtures.requirements(spark, sf_dir), materialize=True)
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
     return rounded(evaluate.run_results(ml.ml_instances(data, ["LinearSVM"])))
 
 
@@ -864,9 +919,12 @@ def q_stream_run_results(spark, sf_dir):
     """K1: running evaluation with Structured Streaming over arriving prediction files; equals the batch run_results."""
     base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
     src = f"{base}/in"
-    fixtures.instances(spark, sf_dir).drop("text", "reasons").repartition(4, "seed").write.parquet(src)
-    # state is one row per run (bounded by the grid), so a few state partitions suffice at any data size
-    q = running_eval.start(spark, src, f"{base}/out", f"{base}/checkpoint", files_per_trigger=2,
+    rows = fixtures.instances(spark, sf_dir).drop("text", "reasons").withColumn("attempt", F.lit(1).cast("bigint"))
+    rows.write.parquet(src)  # as many files as the rows have partitions
+    # one run is delivered again as a later attempt: it must replace the first one's counts
+    rows.where((F.col("seed") == 42) & (F.col("model") == CLASSICAL[0])).withColumn("attempt", F.lit(2).cast("bigint")).write.mode("append").parquet(src)
+    # state is a row per run and attempt (bounded by the grid), so a few state partitions suffice at any data size
+    q = running_eval.start(spark, src, f"{base}/out", f"{base}/checkpoint",
                            state_partitions=min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     q.awaitTermination()
     return rounded(running_eval.read_snapshot(spark, f"{base}/out"))

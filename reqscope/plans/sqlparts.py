@@ -12,6 +12,7 @@ from ..sources.fixtures import (
     DATASET_EVEN,
     DATASET_ODD,
     NEURAL_CUTS,
+    TEXT_LABEL_SQL,
     VARIANTS,
     _sql_str,
     dataset_sql,
@@ -190,8 +191,8 @@ def quota_sql(src: str, groups: str, test_size: float, name: str = "quotas") ->
     return f"""{name}_c AS (SELECT {groups}, label, count(*) AS n_c FROM {src} GROUP BY ALL),
 {name}_1 AS (SELECT *, sum(n_c) OVER (PARTITION BY {groups}) AS n FROM {name}_c),
 {name}_2 AS (SELECT *, CAST(ceil(CAST({test_size} AS DOUBLE) * n) AS BIGINT) AS n_test FROM {name}_1),
-{name}_3 AS (SELECT *, n - n_test AS n_train, CAST(n_c * (n - n_test) AS DOUBLE) / CAST(n AS DOUBLE) AS cont FROM {name}_2),
-{name}_4 AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM {name}_3),
+{name}_3 AS (SELECT *, n - n_test AS n_train, CAST(n_c AS HUGEINT) * CAST(n - n_test AS HUGEINT) AS prod FROM {name}_2),
+{name}_4 AS (SELECT *, prod // CAST(n AS HUGEINT) AS fl, prod % CAST(n AS HUGEINT) AS rem FROM {name}_3),
 {name}_5 AS (SELECT *, n_train - sum(fl) OVER (PARTITION BY {groups}) AS need,
                     row_number() OVER (PARTITION BY {groups} ORDER BY rem DESC, label) AS rk FROM {name}_4),
 {name} AS (SELECT {groups}, label, n_c, CAST(n_c - (fl + CASE WHEN rk <= need THEN 1 ELSE 0 END) AS BIGINT) AS test_c FROM {name}_5)"""
@@ -230,7 +231,7 @@ terms_v AS (SELECT req_id, variant, term, CAST(count(*) AS INTEGER) AS cnt FROM
 terms AS (SELECT req_id, term, cnt FROM terms_v WHERE variant = 'original')"""
 
 NB = (
-    SPLIT_BASE
+    SPLIT_BASE.replace("CAST(1 - l.quality AS INTEGER) AS label", f"CAST({TEXT_LABEL_SQL.replace('doc_id', 'd.doc_id')} AS INTEGER) AS label")
     + f""",
 {TERMS_V},
 train AS (SELECT dataset || ':' || CAST(seed AS VARCHAR) AS tset, req_id, label FROM split WHERE part = 'train'

@@ -1,4 +1,4 @@
-"""Session helpers: local test sessions, checkpoint folder, checked broadcast."""
+"""Session helpers: local test sessions, checkpoint folder, written intermediate tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "reqscope") -> SparkSession:
@@ -22,7 +21,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("REQSCOPE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("REQSCOPE_DRIVER_MEMORY", "8g"))
+        .config("reqscope.spread", "on")  # driver tables are single files
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -35,26 +35,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when nothing is configured (local tests) a scratch folder is made.
+    is; without it this raises, because executors cannot share a folder of one
+    machine. Only a local master (tests) gets a scratch folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # sessions without a SparkContext handle (e.g. Spark Connect)
-        return conf_dir or _LOCAL_SCRATCH.setdefault("dir", tempfile.mkdtemp(prefix="reqscope-ckpt-", dir="/tmp"))
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-    else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="reqscope-ckpt-", dir="/tmp"))
+    if not conf_dir and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="reqscope-ckpt-"))
     return sc.getCheckpointDir()
 
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
@@ -72,33 +71,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def join_dim(big: DataFrame, dim: DataFrame, on, how: str = "inner", bounded: bool = False) -> DataFrame:
-    """Join a dimension table.
-
-    ``bounded=True`` states that ``dim`` has a size bound fixed by construction
-    (a literal grid, a fixed lexicon, the model list); only then it is
-    broadcast. Otherwise the join is left to AQE, which converts it to a
-    broadcast at run time only when the measured shuffle size is under
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and splits skewed keys.
-    """
-    return big.join(F.broadcast(dim) if bounded else dim, on=on, how=how)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition by ``keys`` only when ``df`` has fewer partitions than the cluster can run at once.
+    """Hash-repartition by ``keys`` where the session asks for it (``reqscope.spread`` = ``on``); off by default.
 
-    A small single-file table scans as one task; CPU-heavy per-row work
-    (regex tokenising, lexicon folds) would then run on one core. Large
-    multi-file scans already have enough splits, and are left untouched
-    (no extra shuffle at scale).
-
-    Call it on a scan (plus projections/filters) only: there the partition
-    count comes from the file splits without running a job.
+    Meant for small single-file tables on one machine, whose scan is one task.
+    It never depends on the data's size: a cluster that does not set it never
+    shuffles texts for this.
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD access in this session type: leave the plan as it is
+    if df.sparkSession.conf.get("reqscope.spread", "off") != "on":
         return df
-    return df.repartition(target, *keys)
+    return df.repartition(*keys)

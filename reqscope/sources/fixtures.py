@@ -13,7 +13,7 @@ Spark job whose work grows with those tables):
   true label when an md5 of (model, seed, row, setting, variant) falls under
   the model's cut, giving realistic, non-degenerate metric spreads.
 
-The same recipes are written in SQL for the DuckDB oracle (plans/oracle.py);
+The same recipes are written in SQL for the DuckDB oracle (plans/sqlparts.py);
 ``CASE`` texts below are shared by both engines.
 """
 
@@ -87,11 +87,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """The documents scan (pruned to ``cols``), spread over the cores when it has too few splits."""
+    """The documents scan (pruned to ``cols``), spread over the cores where the session asks for it."""
     return spread(read_table(spark, sf_dir, "documents").select(*cols), "doc_id" if "doc_id" in cols else cols[0])
 
 
-def requirements_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Label of the plain fixtures, and one that follows the injected terms (the lower half of the lexicon is positive).
+QUALITY_LABEL_SQL = "1 - quality"
+TEXT_LABEL_SQL = f"CASE WHEN doc_id % 5 = 0 THEN 0 WHEN (doc_id * 7 + 3) % {len(TRIGGER_TERMS) + 1} < {(len(TRIGGER_TERMS) + 1) // 2} THEN 1 ELSE 0 END"
+
+
+def requirements_plain(spark: SparkSession, sf_dir: str, label_sql: str = QUALITY_LABEL_SQL) -> DataFrame:
     """labelled requirement rows (req_id, dataset, requirement_text, label, reasons)."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -99,14 +104,14 @@ def requirements_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("req_id"),
         F.expr(dataset_sql()).alias("dataset"),
         F.col("text").alias("requirement_text"),
-        (F.lit(1) - F.col("quality")).cast("int").alias("label"),
+        F.expr(label_sql).cast("int").alias("label"),
         F.lit(None).cast("string").alias("reasons"),
     )
 
 
-def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requirements(spark: SparkSession, sf_dir: str, label_sql: str = QUALITY_LABEL_SQL) -> DataFrame:
     """labelled rows with injected trigger terms and a ``reasons`` list."""
-    base = requirements_plain(spark, sf_dir).withColumn(
+    base = requirements_plain(spark, sf_dir, label_sql).withColumn(
         "requirement_text", F.expr(injected_text_sql("req_id", "requirement_text"))
     )
     hits = trigger_hits("requirement_text")

@@ -1,15 +1,21 @@
-"""Labelled text sources: CSV/Parquet scans, column checks, type normalisation."""
+"""Labelled text sources: CSV/Parquet scans, column checks, type normalisation.
+
+CSV files with line ends inside quotes cannot be split: each is one task. That
+is right for hand-made files; big inputs belong in Parquet (``fmt="parquet"``),
+or in CSV without such line ends (``multiline=False``).
+"""
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_label, csv_null, null_text
+from ..session import materialize
 
 TEXT_COL, LABEL_COL, REASONS_COL = "requirement_text", "label", "reasons"
 
@@ -22,29 +28,38 @@ def assert_required_columns(df: DataFrame, name: str, required=(TEXT_COL, LABEL_
     """A3: fail before any action when required columns are absent (names sorted)."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise MissingColumnsError(f"{name} is missing columns: {missing}. Found columns: {list(df.columns)}")
-
-
-def read_labelled_csv(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A1: CSV scan, every column as STRING (no inference); a missing path is an error."""
-    if "://" not in path and not os.path.exists(path):
-        raise FileNotFoundError(f"Missing dataset {name}: {path}")
-    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+        raise MissingColumnsError(f"labelled set {name!r}: no column named {', '.join(missing)} among {', '.join(df.columns)}")
+
+
+def read_labelled_csv(spark: SparkSession, path: str, name: str, multiline: bool = True) -> DataFrame:
+    """A1: CSV scan, every column as STRING (no inference); a path that Spark does not find is an error."""
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE")
+    try:
+        header = reader.csv(path).columns
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition() or e):
+            raise
+        raise FileNotFoundError(f"labelled set {name!r}: nothing to read at {path}") from e
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    df = reader.schema(schema).csv(path)
     return df.select([csv_null(F.col(c)).alias(c) for c in df.columns])
 
 
+def boolean_words(df: DataFrame, col: str = LABEL_COL) -> DataFrame:
+    """Turn a column whose every value reads true or false (three spellings) into 1 and 0; leave others as they are."""
+    if dict(df.dtypes)[col] == "boolean":
+        return df.withColumn(col, F.col(col).cast("int").cast("string"))
+    if dict(df.dtypes)[col] != "string":
+        return df
+    word = F.col(col).isin("True", "TRUE", "true", "False", "FALSE", "false")
+    seen = df.agg(F.bool_and(word).alias("all")).first()["all"]  # nulls are passed over
+    return df.withColumn(col, F.when(F.lower(col) == "true", "1").when(F.lower(col) == "false", "0")) if seen else df
+
+
 def normalise(df: DataFrame, name: str, required=(TEXT_COL, LABEL_COL), missing_text: str = "") -> DataFrame:
     """A3-A5: required-column check, text/label normalisation, optional reasons column."""
     assert_required_columns(df, name, required)
+    df = boolean_words(df)
     if REASONS_COL not in df.columns:
         df = df.withColumn(REASONS_COL, F.lit(None).cast("string"))  # A5
     return df.withColumns(
@@ -56,19 +71,34 @@ def normalise(df: DataFrame, name: str, required=(TEXT_COL, LABEL_COL), missing_
     )
 
 
-def load_dataset(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> DataFrame:
-    """A1+A4: one labelled set, cleaned, tagged with its dataset name and a stable row key."""
+def _tagged(spark: SparkSession, path: str, name: str, fmt: str) -> DataFrame:
     raw = read_labelled_csv(spark, path, name) if fmt == "csv" else spark.read.parquet(path)
     df = normalise(raw, name)
-    if "req_id" not in df.columns:
-        # stable key: hash of the row content (positional ids do not exist in a distributed scan)
-        df = df.withColumn("req_id", F.xxhash64(F.lit(name), F.col(TEXT_COL), F.col(LABEL_COL), F.col(REASONS_COL)))
-    return df.select("req_id", F.lit(name).alias("dataset"), TEXT_COL, LABEL_COL, REASONS_COL)
+    own = [F.col("req_id").cast("bigint").alias("req_id")] if "req_id" in df.columns else []
+    return df.select(*own, F.lit(name).alias("dataset"), TEXT_COL, LABEL_COL, REASONS_COL)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Give every physical row a number of its own and write the table, so that the numbers stay.
+
+    Equal rows get different numbers (a hash of the content would merge them).
+    """
+    numbered = df.withColumn("req_id", F.monotonically_increasing_id())
+    return materialize(numbered.select("req_id", *df.columns), "labelled")
+
+
+def load_dataset(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> DataFrame:
+    """A1+A4: one labelled set, cleaned, tagged with its dataset name and a row number (its own ``req_id`` if it has one)."""
+    df = _tagged(spark, path, name, fmt)
+    return df if "req_id" in df.columns else _numbered(df)
 
 
 def load_all_datasets(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> DataFrame:
-    """A2: all labelled sets as one table keyed by ``dataset``."""
-    return reduce(DataFrame.unionByName, [load_dataset(spark, p, n, fmt) for n, p in paths.items()])
+    """A2: all labelled sets as one table keyed by ``dataset``; rows are numbered across the sets unless all bring a ``req_id``."""
+    sets = [_tagged(spark, p, n, fmt) for n, p in paths.items()]
+    if all("req_id" in d.columns for d in sets):
+        return reduce(DataFrame.unionByName, sets)
+    return _numbered(reduce(DataFrame.unionByName, [d.drop("req_id") for d in sets]))
 
 
 def get_xy(df: DataFrame) -> DataFrame:
@@ -80,7 +110,8 @@ def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
     """Sink with header for CSV; JSON/text also accepted."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # every value quoted and quotes doubled, so that line ends, quotes and blanks come back as they were
+        w.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif fmt == "json":
         w.json(path)
     elif fmt == "text":

@@ -1,14 +1,18 @@
 """Running evaluation over arriving prediction rows (K1).
 
 Prediction rows (T3) land as files; a Structured Streaming query keeps the
-four confusion counts per run as state (they add up, so state is 4 longs per
-run and no watermark is needed) and, per micro-batch, overwrites a metrics
-snapshot table in the shared folder. Output mode ``complete`` makes every
-snapshot the whole result, so a replayed batch rewrites the same table
-(idempotent); the checkpoint location makes the query restartable.
+four confusion counts per run and attempt as state (they add up, so no
+watermark is needed) and, per micro-batch, writes a metrics snapshot to the
+shared folder. A run that is delivered again carries a higher ``attempt``; the
+snapshot shows the latest attempt of each run only, so a repeated run replaces
+its counts and never adds to them (rows without an attempt are attempt 0).
+Output mode ``complete`` makes every snapshot the whole result. Each batch has
+a folder of its own (``epoch=N``), and readers take the newest finished one:
+there is always a table to read, and a replayed batch rewrites its own folder.
+The checkpoint location makes the query restartable.
 
 The number of state partitions is fixed by the first run of a checkpoint. The
-state holds one row per run, and runs are bounded by the experiment grid, not
+state holds one row per run and attempt, and runs are bounded by the experiment grid, not
 by the data. Each micro-batch is partially aggregated before its shuffle, too.
 So a small state partition count (``state_partitions``) avoids thousands of
 near-empty state-store tasks per batch on a cluster with a large
@@ -27,18 +31,21 @@ from ..operators.evaluate import RUN_KEYS
 
 INSTANCE_SCHEMA = (
     "setting string, variant string, train_dataset string, test_dataset string, model string, "
-    "seed int, req_id bigint, y_true int, y_pred int"
+    "seed int, req_id bigint, y_true int, y_pred int, attempt bigint"
 )
 
 
 def running_confusion(stream: DataFrame, keys=RUN_KEYS) -> DataFrame:
-    """Streaming aggregate of confusion counts per run."""
-    return stream.groupBy(*keys).agg(*confusion_aggs(), F.count(F.lit(1)).alias("n"))
+    """Streaming aggregate of confusion counts per run and attempt."""
+    attempt = F.coalesce(F.col("attempt"), F.lit(0)).alias("attempt")
+    return stream.groupBy(*keys, attempt).agg(*confusion_aggs(), F.count(F.lit(1)).alias("n"))
 
 
 def metrics_snapshot(counts: DataFrame, keys=RUN_KEYS) -> DataFrame:
-    """Batch projection of a counts snapshot into the run-results shape."""
-    return counts.select(*keys, *metric_columns(), "tn", "fp", "fn", "tp", F.col("n").alias("n_test"))
+    """Batch projection of a counts snapshot into the run-results shape (T2): the latest attempt of each run."""
+    cells = ["tn", "fp", "fn", "tp", "n"]
+    last = counts.groupBy(*keys).agg(F.max_by(F.struct(*cells), "attempt").alias("c")).select(*keys, "c.*")
+    return last.select(*keys, *metric_columns(), "tn", "fp", "fn", "tp", F.col("n").alias("n_test"))
 
 
 def start(
@@ -64,7 +71,7 @@ def start(
     counts = running_confusion(reader.parquet(source_dir), keys)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        metrics_snapshot(batch, keys).write.mode("overwrite").parquet(out_path)
+        metrics_snapshot(batch, keys).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -80,7 +87,13 @@ def start(
 
 
 def read_snapshot(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.parquet(out_path)
+    """The newest finished snapshot (the one with the highest epoch and a success mark)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    epochs = [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
+    if not epochs:
+        raise FileNotFoundError(f"no finished snapshot under {out_path}")
+    return spark.read.parquet(f"{out_path}/epoch={max(epochs)}")
 
 
 __all__ = ["INSTANCE_SCHEMA", "METRICS", "running_confusion", "metrics_snapshot", "start", "read_snapshot"]

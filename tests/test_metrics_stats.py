@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reqscope.constants import METRICS
 from reqscope.functions.metrics import metric_columns
-from reqscope.functions.stats import exact_signed_rank_p, mask_enumeration_p, normal_two_sided_p, t_two_sided_p
+from reqscope.functions.stats import normal_two_sided_p, signed_rank_p, t_two_sided_p
 
 
 def metrics_of(spark, tn, fp, fn, tp):
@@ -54,26 +54,29 @@ def test_student_t(spark, t, df, p):
     assert r == pytest.approx(p, abs=2e-6)
 
 
-def test_signed_rank_exact(spark):
-    r = spark.createDataFrame([(0.0, 5), (1.0, 5), (0.0, 4)], "s double, m int").select(exact_signed_rank_p("s", "m").alias("p")).collect()
-    assert [x["p"] for x in r] == [0.0625, 0.125, 0.125]
-
-
-def test_mask_enumeration_matches_exact_without_ties(spark):
-    r = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0], 2.0)], "r array<double>, s double")
-    p_mask = r.select(mask_enumeration_p("r", "s").alias("p")).first()["p"]
-    p_exact = spark.createDataFrame([(2.0, 5)], "s double, m int").select(exact_signed_rank_p("s", "m").alias("p")).first()["p"]
-    assert p_mask == p_exact == pytest.approx(2 * 3 / 32)
-
-
-def test_mask_enumeration_with_ties_bruteforce(spark):
+@pytest.mark.parametrize("ranks", [[1, 2, 3, 4, 5], [1, 2, 3, 4], [1.5, 1.5, 3, 4.5, 4.5], [3, 3, 3, 3, 3, 6, 7, 8], [1]])
+def test_signed_rank_p_bruteforce(spark, ranks):
+    """Every reachable statistic against all sign assignments, with and without ties."""
     from itertools import product
-    ranks = [1.5, 1.5, 3.0, 4.5, 4.5]
-    stat = 3.0
-    hits = sum(1 for signs in product([0, 1], repeat=len(ranks)) if sum(r for r, s in zip(ranks, signs) if s) <= stat)
-    expected = min(1.0, 2 * hits / 2 ** len(ranks))
-    r = spark.createDataFrame([(ranks, stat)], "r array<double>, s double").select(mask_enumeration_p("r", "s").alias("p")).first()["p"]
-    assert r == pytest.approx(expected)
+    sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in product([0, 1], repeat=len(ranks))]
+    doubled = [int(2 * r) for r in ranks]
+    rows = [(doubled, int(2 * s)) for s in sorted(set(sums))]
+    got = spark.createDataFrame(rows, "r array<int>, s int").select("s", signed_rank_p("r", "s").alias("p")).collect()
+    for r in got:
+        want = min(1.0, 2 * sum(x <= r["s"] / 2 for x in sums) / 2 ** len(ranks))
+        assert r["p"] == pytest.approx(want)
+
+
+def test_signed_rank_p_many_ranks(spark):
+    """Sixty pairs: more sign assignments than a long holds."""
+    m = 60
+    counts = [1]
+    for r in range(1, m + 1):
+        counts = [(counts[i] if i < len(counts) else 0) + (counts[i - r] if 0 <= i - r < len(counts) else 0) for i in range(len(counts) + r)]
+    stat = 700
+    want = 2 * sum(counts[: stat + 1]) / 2 ** m
+    got = spark.createDataFrame([([2 * r for r in range(1, m + 1)], 2 * stat)], "r array<int>, s int").select(signed_rank_p("r", "s").alias("p")).first()["p"]
+    assert got == pytest.approx(want, rel=1e-9)
 
 
 def test_normal_tail_matches_math_erfc(spark):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reqscope.operators import evaluate, lexicon, profile, significance, split, training_log
+from reqscope.operators import evaluate, lexicon, profile, ranking, significance, split, training_log
 
 
 def test_class_quotas_exact(spark):
@@ -124,7 +124,7 @@ def test_variants_keep_row_count(spark):
     assert got[(1, "removed_triggers")] == "it be"
 
 
-def test_wilcoxon_zero_difference_uses_masks(spark):
+def test_wilcoxon_zero_difference_is_exact(spark):
     s = ("intra", "PURE", "PURE")
     rows = []
     for i, seed in enumerate([13, 21, 42, 87, 123]):
@@ -133,5 +133,90 @@ def test_wilcoxon_zero_difference_uses_masks(spark):
         (F.col("setting") == "intra") & (F.col("train_dataset") == "PURE") & (F.col("model_a") == "BERT") & (F.col("model_b") == "RoBERTa")
     ).first()
     # one zero dropped: m = 4 positive differences, W- = 0 -> p = 2 / 16
-    assert (r["n_pairs"], r["wilcoxon_statistic"], r["method"], r["status"]) == (5, 0.0, "exact_masks", "ok")
+    assert (r["n_pairs"], r["wilcoxon_statistic"], r["method"], r["status"]) == (5, 0.0, "exact", "ok")
     assert r["pvalue"] == 0.125
+
+
+def test_quotas_of_huge_classes(spark):
+    """Counts whose product exceeds 64 bits give exact quotas."""
+    from reqscope.operators import split
+
+    n = 5_000_000_000
+    counts = spark.createDataFrame([("A", 0, n + 1), ("A", 1, n)], "dataset string, label int, n_c bigint")
+    got = {r["label"]: r["test_c"] for r in split.quotas_from_counts(counts, ["dataset"]).collect()}
+    total = 2 * n + 1
+    n_train = total - -(-total // 5)
+    floors = [c * n_train // total for c in (n + 1, n)]
+    rems = [c * n_train % total for c in (n + 1, n)]
+    need = n_train - sum(floors)
+    order = sorted((0, 1), key=lambda k: (-rems[k], k))
+    train = [floors[k] + (order.index(k) < need) for k in (0, 1)]
+    assert got == {0: n + 1 - train[0], 1: n - train[1]}
+
+
+def test_split_never_gathers_a_class(spark):
+    """No exchange of rows is keyed on (seed, dataset, label) alone."""
+    import re
+
+    from reqscope.operators import split
+
+    df = spark.range(1000).selectExpr("id as req_id", "'A' as dataset", "cast(id % 2 as int) as label", "cast(id as string) as payload")
+    plan = split.intra_split(df)._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    # whatever is dealt by class alone holds bucket counts: no column of a row
+    seen = 0
+    lines = text.splitlines()
+    for k, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line and "_b#" not in re.search(r"hashpartitioning\((.*?), \d+\)", line).group(1):
+            depth = line.index("Exchange")
+            below = next(x for x in lines[k + 1:] if x.index(x.strip(" :+-*()0123456789|")) >= depth)
+            assert "payload" not in below and "req_id" not in below, below
+            seen += 1
+    windows = [x for x in lines if "Window [row_number" in x and "_h#" in x]
+    assert windows and all("_b#" in x for x in windows) and seen
+
+
+def test_cross_split_holds_the_test_set(spark):
+    from reqscope.operators import split
+
+    df = spark.range(100).selectExpr("id as req_id", "if(id < 60, 'A', 'B') as dataset", "cast(id % 2 as int) as label")
+    out = split.cross_split(df, [("A", "B")], seeds=[1, 2]).toPandas()
+    assert out.groupby(["seed", "part"]).size().to_dict() == {(s, p): n for s in (1, 2) for p, n in (("train", 52), ("val", 8), ("test", 40))}
+    assert set(out["train_dataset"]) == {"A"} and set(out["test_dataset"]) == {"B"}
+
+
+def test_reason_pivot_other_models_and_duplicates(spark):
+    rows = [("intra", "A", "A", m, "may", v) for m, v in (("MultinomialNB", 0.5), ("GBT", 0.7))]
+    cols = "setting string, train_dataset string, test_dataset string, model string, reason string, f1 double"
+    out = ranking.reason_pivot(spark.createDataFrame(rows, cols)).first().asDict()
+    assert out["GBT"] == 0.7 and 0.5 in out.values()
+    twice = ranking.reason_pivot(spark.createDataFrame([*rows, ("intra", "A", "A", "GBT", "may", 0.1)], cols))
+    with pytest.raises(Exception, match="two values for one cell"):
+        twice.collect()
+
+
+def test_wilcoxon_refuses_repeated_values(spark):
+    s = ("intra", "PURE", "PURE")
+    rows = [(*s, m, seed, 0.1 * seed) for m in ("BERT", "RoBERTa") for seed in (1, 2, 3)]
+    with pytest.raises(Exception, match="more than one value"):
+        significance.wilcoxon_tests(_results(spark, [*rows, (*s, "BERT", 1, 0.9)])).collect()
+
+
+def test_histogram_equals_numpy(spark):
+    import numpy as np
+
+    from reqscope.operators import profile
+
+    rng = np.random.default_rng(0)
+    rows, want = [], {}
+    for k in range(150):
+        v = rng.integers(0, int(rng.integers(1, 2000)) + 1, 200)
+        rows += [(f"d{k}", 0, int(x)) for x in v]
+        want[f"d{k}"] = np.histogram(v, bins=30)
+    df = spark.createDataFrame(rows, "dataset string, label int, word_len int")
+    out = profile.length_histogram(df, cols=("word_len",)).toPandas()
+    for name, g in out.groupby("dataset"):
+        g = g.sort_values("bin")
+        counts, edges = want[name]
+        assert g["count"].tolist() == counts.tolist(), name
+        assert np.allclose(g["bin_lo"], edges[:-1]) and np.allclose(g["bin_hi"], edges[1:])

@@ -5,11 +5,16 @@ from pyspark.sql import functions as F
 from reqscope.session import materialize, shared_path, spread
 
 
-def test_spread_only_when_too_few_partitions(spark):
-    small = spark.range(100).coalesce(1)
-    assert spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert spread(wide, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 2
+def test_spread_only_where_asked(spark):
+    df = spark.range(100)
+    before = spark.conf.get("reqscope.spread")
+    try:
+        spark.conf.set("reqscope.spread", "off")
+        assert spread(df, "id") is df
+        spark.conf.set("reqscope.spread", "on")
+        assert "RepartitionByExpression" in spread(df, "id")._jdf.queryExecution().logical().toString()
+    finally:
+        spark.conf.set("reqscope.spread", before)
 
 
 def test_materialize_cuts_lineage(spark):

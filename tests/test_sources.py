@@ -34,3 +34,39 @@ def test_optional_reasons_and_union(spark, tmp_path):
     df = load_all_datasets(spark, {"PURE": str(a), "UserStories": str(b)})
     got = sorted((r["dataset"], r["requirement_text"], r["reasons"]) for r in df.collect())
     assert got == [("PURE", "x", None), ("UserStories", "y", "etc")]
+
+
+def test_equal_rows_keep_their_own_numbers(spark, tmp_path):
+    p = tmp_path / "c.csv"
+    p.write_text("requirement_text,label\n" + "same words here,1\n" * 40)
+    df = load_all_datasets(spark, {"A": str(p), "B": str(p)})
+    assert df.count() == 80 and df.select("req_id").distinct().count() == 80
+    from reqscope.operators import features
+    terms = features.doc_terms(df)
+    assert terms.agg({"cnt": "max"}).first()[0] == 1
+
+
+def test_boolean_and_large_labels(spark, tmp_path):
+    p, q = tmp_path / "d.csv", tmp_path / "e.csv"
+    p.write_text("requirement_text,label\nx,True\ny,False\nz,\n")
+    q.write_text("requirement_text,label\nx,True\ny,3000000000\nz,#NA\nw,-1.#IND\n")
+    got = lambda path: {r["requirement_text"]: r["label"] for r in load_dataset(spark, str(path), "D").collect()}
+    assert got(p) == {"x": 1, "y": 0, "z": 0}
+    assert got(q) == {"x": 0, "y": 3000000000, "z": 0, "w": 0}
+
+
+def test_own_ids_are_kept(spark, tmp_path):
+    path = str(tmp_path / "f.parquet")
+    spark.createDataFrame([(7, "x", 1), (7, "x", 1)], "req_id long, requirement_text string, label int").write.parquet(path)
+    assert [r["req_id"] for r in load_dataset(spark, path, "F", fmt="parquet").collect()] == [7, 7]
+
+
+def test_sinks(spark, tmp_path):
+    from reqscope.sources.labelled import save_table
+
+    df = spark.createDataFrame([("a", 1)], "t string, n int")
+    for fmt in ("csv", "json", "parquet"):
+        save_table(df, str(tmp_path / fmt), fmt)
+        assert spark.read.option("header", True).format(fmt).load(str(tmp_path / fmt)).count() == 1
+    save_table(df.select("t"), str(tmp_path / "text"), "text")
+    assert spark.read.text(str(tmp_path / "text")).first()[0] == "a"
