@@ -1,20 +1,23 @@
 """Registered queries: one Spark builder per operator, plus its DuckDB oracle SQL.
 
-Each builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole driver tables. Doubles are rounded to 6 places in both engines so the
+Each builder takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
+driver tables. Builders of the naive Bayes, ML, streaming and CSV queries run
+jobs of their own (they write shared intermediate tables); the others are lazy. Doubles are rounded to 6 places in both engines so the
 order-insensitive value hash compares equal numbers.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import char_len, clean_label, null_text, word_len
+from ..functions.text import NULL_WORDS, char_len, word_len
 from ..operators import profile
-from ..sources import fixtures
+from ..session import shared_path
+from ..sources import fixtures, labelled
 from . import sqlparts as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,22 +47,39 @@ def rounded(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- step 1: profile
 @register(
     "requirements_clean",
-    f"""WITH {S.REQ_PLAIN}
-SELECT req_id, dataset, coalesce(requirement_text, '') AS requirement_text,
-       CAST(CASE WHEN regexp_matches(CAST(label AS VARCHAR), '^[ \\t\\n\\r\\f\\x0b]*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r\\f\\x0b]*$')
-                 THEN trunc(CAST(trim(CAST(label AS VARCHAR)) AS DOUBLE)) ELSE 0 END AS INTEGER) AS label,
-       reasons
-FROM req_plain""",
+    f"""WITH {S.MESSY}
+SELECT dataset, coalesce(requirement_text, '') AS requirement_text, {S.clean_label_sql('label')} AS label, reasons, count(*) AS n
+FROM messy GROUP BY ALL""",
 )
 def q_requirements_clean(spark, sf_dir):
-    """A1-A5, B1: labelled rows with text/label normalisation applied."""
-    df = fixtures.requirements_plain(spark, sf_dir)
-    return df.select(
-        "req_id", "dataset",
-        null_text("requirement_text").alias("requirement_text"),
-        clean_label(F.col("label").cast("string")).alias("label"),
-        "reasons",
-    )
+    """A3-A5: text and label normalisation of messy values (no CSV between, so null words are plain text)."""
+    df = labelled.normalise(fixtures.messy(spark, sf_dir), "messy")
+    return df.groupBy("dataset", "requirement_text", "label", "reasons").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _null_word_sql(x: str) -> str:
+    return f"(CASE WHEN {x} IN {S.in_list(NULL_WORDS)} THEN NULL ELSE {x} END)"
+
+
+@register(
+    "csv_round_trip",
+    f"""WITH {S.MESSY},
+loaded AS (SELECT dataset, coalesce({_null_word_sql('requirement_text')}, '') AS requirement_text,
+                  coalesce({S.clean_label_sql(_null_word_sql('label'))}, 0) AS label, {_null_word_sql('reasons')} AS reasons FROM messy)
+SELECT *, count(*) AS n, count(*) AS n_ids FROM loaded GROUP BY ALL""",
+)
+def q_csv_round_trip(spark, sf_dir):
+    """Messy rows written as CSV per set, loaded, cleaned and numbered; equal rows keep numbers of their own."""
+    base = shared_path(spark, f"csv-{uuid.uuid4().hex}")
+    raw = fixtures.messy(spark, sf_dir)
+    paths = {}
+    for name in (fixtures.DATASET_EVEN, fixtures.DATASET_ODD):
+        paths[name] = f"{base}/{name}"
+        labelled.save_table(raw.where(F.col("dataset") == name).drop("dataset"), paths[name], "csv")
+    df = labelled.load_all_datasets(spark, paths)
+    df = labelled.get_xy(df).join(df.select("req_id", "dataset", "reasons"), "req_id")
+    return df.groupBy("dataset", "requirement_text", "label", "reasons").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("req_id").alias("n_ids"))
 
 
 @register(
@@ -871,10 +891,7 @@ def q_verbaliser(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- steps 7-8: ML pipelines, batch scoring, streaming
-import uuid  # noqa: E402
-
 from ..operators import scoring  # noqa: E402
-from ..session import shared_path  # noqa: E402
 from ..streaming import running_eval  # noqa: E402
 from . import ml  # noqa: E402
 

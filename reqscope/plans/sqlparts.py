@@ -11,6 +11,9 @@ from ..sources.fixtures import (
     CLASSICAL_CUTS,
     DATASET_EVEN,
     DATASET_ODD,
+    MESSY_LABEL_SQL,
+    MESSY_REASONS_SQL,
+    MESSY_TEXT_SQL,
     NEURAL_CUTS,
     TEXT_LABEL_SQL,
     VARIANTS,
@@ -69,6 +72,19 @@ def parse_reasons_sql(r: str) -> str:
     )
 
 
+MESSY = f"""
+messy AS (
+  SELECT {dataset_sql('d.source')} AS dataset, {MESSY_TEXT_SQL.replace('doc_id', 'd.doc_id')} AS requirement_text,
+         {MESSY_LABEL_SQL.format(text='VARCHAR').replace('doc_id', 'd.doc_id')} AS label, {MESSY_REASONS_SQL.replace('doc_id', 'd.doc_id')} AS reasons
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN (VALUES (1), (2)) c(copy) ON c.copy = 1 OR d.doc_id % 10 = 0
+)"""
+
+
+def clean_label_sql(x: str) -> str:
+    return (f"CAST(CASE WHEN regexp_matches({x}, '^[ \\t\\n\\r\\f\\x0b]*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r\\f\\x0b]*$') "
+            f"THEN trunc(CAST(trim({x}) AS DOUBLE)) ELSE 0 END AS BIGINT)")
+
+
 REQ_PLAIN = f"""
 req_plain AS (
   SELECT d.doc_id AS req_id, {dataset_sql('d.source')} AS dataset, d.text AS requirement_text,

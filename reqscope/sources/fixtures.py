@@ -118,6 +118,25 @@ def requirements(spark: SparkSession, sf_dir: str, label_sql: str = QUALITY_LABE
     return base.withColumn("reasons", F.when(F.size(hits) > 0, F.array_join(hits, ",")))
 
 
+# Values as a hand-made CSV has them (the same text in both engines): null words, quotes, line ends, blanks around, repeated
+# rows; fractions, words, blanks and large numbers as labels.
+MESSY_TEXT_SQL = """CASE doc_id % 9 WHEN 0 THEN 'NA' WHEN 1 THEN concat('say "', text, '", "twice"') WHEN 2 THEN NULL
+  WHEN 3 THEN concat('  ', text, ' ') WHEN 4 THEN '#N/A' WHEN 5 THEN 'one line, with a comma' ELSE text END"""
+MESSY_LABEL_SQL = """CASE doc_id % 8 WHEN 0 THEN '1.9' WHEN 1 THEN ' 1 ' WHEN 2 THEN 'abc' WHEN 3 THEN '' WHEN 4 THEN '3000000000'
+  WHEN 5 THEN '-1.5' WHEN 6 THEN '1e0' ELSE cast(quality AS {text}) END"""
+MESSY_REASONS_SQL = "CASE doc_id % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'may, fast' WHEN 2 THEN ' , may,,' ELSE NULL END"
+
+
+def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, requirement_text, label, reasons) as raw strings, every tenth row twice."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    rows = docs.join(read_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return rows.select(
+        F.expr(dataset_sql()).alias("dataset"), F.expr(MESSY_TEXT_SQL).alias("requirement_text"),
+        F.expr(MESSY_LABEL_SQL.format(text="STRING")).alias("label"), F.expr(MESSY_REASONS_SQL).alias("reasons"))
+
+
 def model_cuts(models: dict[str, str] | None = None) -> dict[str, str]:
     return dict(models) if models else {**CLASSICAL_CUTS, **NEURAL_CUTS}
 
