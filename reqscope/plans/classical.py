@@ -3,8 +3,9 @@
 Runs = intra (per dataset and seed, stratified 80/20) and cross (train on one
 whole dataset, test on another), each scored on the original, masked and
 removed test text. The reference refits per variant; here each distinct
-training set is fitted once and every variant is scored against it. All
-training sets live in one set of tables keyed by ``tset``:
+training set is fitted once and every variant is scored against it. The naive
+Bayes keeps all sets of a dataset as columns of one table (operators/naive_bayes.py);
+results and the Spark ML models name a set by ``tset``:
 
 * intra: ``<dataset>:<seed>`` (the train part of that seed's split)
 * cross: ``<dataset>:all`` (same rows for every seed, so fitted once)
@@ -15,6 +16,8 @@ The relational naive Bayes runs end to end in one lazy plan; Spark ML models
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,55 +42,104 @@ def _cross_map(cross_pairs) -> F.Column:
 
 
 class ClassicalData:
-    """Shared tables of one classical experiment: split, terms, training sets, vocabularies, test rows."""
+    """Shared tables of one classical experiment: split, terms, training sets, vocabularies, test rows.
+
+    Every table is made when it is first asked for; with ``materialize`` the
+    ones that several plans read are written then, and read back.
+    """
 
     def __init__(self, req: DataFrame, seeds=SEEDS, cross_pairs=DEFAULT_CROSS, materialize: bool = False):
-        req = req.select("req_id", "dataset", "requirement_text", "label", "reasons").withColumn(
-            "hit", F.size(trigger_hits("requirement_text")) > 0
-        )
-        self.req = _materialize(req) if materialize else req
+        self._source, self.seeds, self.cross_pairs, self._written = req, list(seeds), list(cross_pairs), materialize
+        self.sets = naive_bayes.SetColumns([*[str(s) for s in self.seeds], "all"])
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return _materialize(df, name) if self._written else df
+
+    @cached_property
+    def req(self) -> DataFrame:
+        return self._keep(self._source.select("req_id", "dataset", "requirement_text", "label", "reasons").withColumn(
+            "hit", F.size(trigger_hits("requirement_text")) > 0), "req")
+
+    @cached_property
+    def terms_v(self) -> DataFrame:
         # A row where no lexicon form occurs has masked text == original and removed
         # text differing only in whitespace, so all three variants have the same terms:
         # only rows with a hit are tokenised (and later scored) per variant.
         original = self.req.select("req_id", F.lit("original").alias("variant"), F.col("requirement_text").alias("scored_text"))
         changed = lexicon.text_variants(self.req.where("hit").select("req_id", "requirement_text")).where(
             F.col("variant") != "original").select("req_id", "variant", "scored_text")
-        terms = features.doc_terms(original.unionByName(changed), keys=("req_id", "variant"), text="scored_text")
-        self.terms_v = _materialize(terms) if materialize else terms
-        self.terms = self.terms_v.where(F.col("variant") == "original").drop("variant")
-
-        labelled = self.req.select("req_id", "dataset", "label", "hit", "reasons")
-        sp = split.intra_split(labelled, seeds)
-        self.split = sp = _materialize(sp) if materialize else sp
-        intra_train = sp.where(F.col("part") == "train").select(
-            F.concat_ws(":", "dataset", F.col("seed").cast("string")).alias("tset"), "req_id", "label"
-        )
-        train_ds = sorted({tr for tr, _ in cross_pairs})
-        cross_train = labelled.where(F.col("dataset").isin(*train_ds)).select(
-            F.concat_ws(":", "dataset", F.lit("all")).alias("tset"), "req_id", "label"
-        )
-        self.train = intra_train.unionByName(cross_train)
-
-        intra_runs = sp.where(F.col("part") == "test").select(
+        return self._keep(features.doc_terms(original.unionByName(changed), keys=("req_id", "variant"), text="scored_text"), "terms")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.terms_v.where(F.col("variant") == "original").drop("variant")
+
+    @property
+    def _labelled(self) -> DataFrame:
+        return self.req.select("req_id", "dataset", "label", "hit", "reasons")
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return self._keep(split.intra_split(self._labelled, self.seeds), "split")
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """(req_id, dataset, label, in<k>): a row per text with a flag for each training set of its dataset."""
+        trains = sorted({tr for tr, _ in self.cross_pairs})
+        is_train = lambda s: (F.col("seed") == s) & (F.col("part") == "train")
+        flags = [F.max(F.when(is_train(s), 1).otherwise(0)).alias(f"in{k}") for k, s in enumerate(self.seeds)]
+        out = self.split.groupBy("req_id", "dataset", "label").agg(*flags)
+        return self._keep(out.withColumn(f"in{len(self.seeds)}", F.col("dataset").isin(*trains).cast("int")), "rows")
+
+    @property
+    def train(self) -> DataFrame:
+        """(tset, req_id, label): a row per training set that has the text (for fits of one set at a time)."""
+        names = F.array(*[F.when(F.col(f"in{k}") == 1, F.concat_ws(":", "dataset", F.lit(s))) for k, s in enumerate(self.sets.sets)])
+        return self.rows.select(F.explode(F.array_compact(names)).alias("tset"), "req_id", "label")
+
+    @cached_property
+    def labels(self) -> list:
+        """The classes (a short list), in order."""
+        return sorted(r[0] for r in self.rows.select("label").distinct().collect() if r[0] is not None)
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        intra_runs = self.split.where(F.col("part") == "test").select(
             F.lit("intra").alias("setting"), F.col("dataset").alias("train_dataset"),
             F.col("dataset").alias("test_dataset"), "seed", "req_id",
             F.concat_ws(":", "dataset", F.col("seed").cast("string")).alias("tset"), "hit", "label", "reasons",
         )
         cross_runs = (
-            labelled.select("req_id", "hit", "label", "reasons", F.col("dataset").alias("test_dataset"),
-                            F.explode(F.coalesce(_cross_map(cross_pairs)[F.col("dataset")], F.array().cast("array<string>"))).alias("train_dataset"))
+            self._labelled.select("req_id", "hit", "label", "reasons", F.col("dataset").alias("test_dataset"),
+                                  F.explode(F.coalesce(_cross_map(self.cross_pairs)[F.col("dataset")], F.array().cast("array<string>"))).alias("train_dataset"))
             .select(F.lit("cross").alias("setting"), "train_dataset", "test_dataset",
-                    F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), "req_id",
+                    F.explode(F.array(*[F.lit(s) for s in self.seeds])).alias("seed"), "req_id",
                     F.concat_ws(":", "train_dataset", F.lit("all")).alias("tset"), "hit", "label", "reasons")
         )
         runs = intra_runs.unionByName(cross_runs)
         runs = runs.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in lexicon.VARIANT_NAMES])))
         runs = runs.withColumn("score_variant", F.when(F.col("hit"), F.col("variant")).otherwise(F.lit("original"))).drop("hit")
-        self.runs = _materialize(runs) if materialize else runs
-        # each (training set, row, distinct text) is scored once, however many seeds and variants share it
-        self.score_rows = self.runs.select("tset", "req_id", F.col("score_variant").alias("variant")).distinct()
-        vocab = features.vocabulary(self.train.select("tset", "req_id"), self.terms)
-        self.vocab = _materialize(vocab) if materialize else vocab
+        return self._keep(runs, "runs")
+
+    @property
+    def score_rows(self) -> DataFrame:
+        """Each (training set, row, distinct text) once, however many seeds and variants share it."""
+        return self.runs.select("tset", "req_id", F.col("score_variant").alias("variant")).distinct()
+
+    @property
+    def score_flags(self) -> DataFrame:
+        """(dataset, req_id, variant, use<k>): the sets of a training dataset that a text is scored with."""
+        uses = [F.max(F.col("tset") == F.concat_ws(":", "train_dataset", F.lit(s))).alias(f"use{k}") for k, s in enumerate(self.sets.sets)]
+        return self.runs.groupBy(F.col("train_dataset").alias("dataset"), "req_id", F.col("score_variant").alias("variant")).agg(*uses)
+
+    @cached_property
+    def vocab_sets(self) -> DataFrame:
+        return self._keep(naive_bayes.vocabulary(self.rows, self.terms, self.sets), "vocab")
+
+    @property
+    def vocab(self) -> DataFrame:
+        """(tset, term, df, n_docs, idf)."""
+        return naive_bayes.long_vocabulary(self.vocab_sets, self.sets)
 
     def train_x(self) -> DataFrame:
         return features.tfidf(self.train.select("tset", "req_id"), self.terms, self.vocab)
@@ -116,9 +168,8 @@ class ClassicalData:
 
 
 def _nb_scores_distinct(data: ClassicalData) -> DataFrame:
-    term_model, class_model = naive_bayes.fit(data.train_x(), data.train, data.vocab)
-    w = features.tfidf_unnormalised(data.score_rows, data.terms_v, data.vocab, keys=("req_id", "variant"))
-    return naive_bayes.class_scores_from_weights(data.score_rows, w, term_model, class_model, keys=("req_id", "variant"))
+    term_model, class_model = naive_bayes.fit(data.rows, data.terms, data.vocab_sets, data.sets, data.labels)
+    return naive_bayes.class_scores(data.score_flags, data.terms_v, term_model, class_model, data.sets, data.labels)
 
 
 def nb_scores(data: ClassicalData) -> DataFrame:
