@@ -49,16 +49,18 @@ class MixParams:
 BIAS = "\n"
 
 
-def _evidence(text: Column) -> tuple[Column, Column]:
-    """Distinct features of a text (with the bias), and its number of words."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    return words, F.size(words)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """Adds ``n_tokens`` and ``features`` to rows with a ``text``, which goes."""
-    words, _ = _evidence(F.col("text"))
-    out = rows.withColumn("words", words).withColumn("own", F.array_distinct("words"))
+    """Adds ``n_tokens`` and ``features`` to rows with a ``text``, which goes.
+
+    The feature array is never empty; callers use ``explode_outer``, because
+    ``explode`` adds a filter on the array's size, which would compute the array
+    twice, and once more for every row that a later join drops.
+    """
+    out = rows.withColumn("words", _words(F.col("text"))).withColumn("own", F.array_distinct("words"))
     grade = F.when(F.size("words") >= 20, F.floor(F.size("own") * 10 / F.size("words")).cast("string")).otherwise(F.lit("-"))
     endings = F.array_distinct(F.transform("own", lambda w: F.concat(F.lit("\t"), F.substring(w, -2, 2))))
     return out.select(
@@ -74,7 +76,7 @@ def fit_features(docs: DataFrame, labels: DataFrame, domains: list[str], p: MixP
               .orderBy(F.xxhash64("train_id"), "train_id", "domain").limit(p.max_train))
     sample = docs.select(F.col(doc_id).alias("train_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "train_id")
     counts = [F.count(F.when(F.col("domain") == d, 1)).cast("double").alias(f"n{k}") for k, d in enumerate(domains)]
-    rows = _featured(sample.select("domain", "text")).select("domain", F.explode("features").alias("feature"))
+    rows = _featured(sample.select("domain", "text")).select("domain", F.explode_outer("features").alias("feature"))
     table = materialize(rows.groupBy("feature").agg(F.count("*").alias("n"), *counts)
                         .where((F.col("n") >= p.min_documents) | (F.col("feature") == BIAS)), "features")
     total = table.where(F.col("feature") == BIAS).select(*[f"n{k}" for k in range(len(domains))]).first() or [0.0] * len(domains)
@@ -99,7 +101,7 @@ def fit_features(docs: DataFrame, labels: DataFrame, domains: list[str], p: MixP
 def posteriors(docs: DataFrame, features: DataFrame, n_domains: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(nid, n_tokens, p0, p1, ...)``, one row per document number."""
     rows = _featured(docs.select(row_key(doc_id, text).alias("nid"), F.col(text).alias("text")))
-    hits = rows.select("nid", "n_tokens", F.explode("features").alias("feature")).join(F.broadcast(features), "feature")
+    hits = rows.select("nid", "n_tokens", F.explode_outer("features").alias("feature")).join(F.broadcast(features), "feature")
     bias = F.col("feature") == BIAS
     sums = hits.groupBy("nid").agg(
         F.sum(F.when(bias, F.col("n_tokens"))).alias("n_tokens"), F.count(F.when(bias, 1)).alias("n_rows"),
