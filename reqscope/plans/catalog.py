@@ -910,6 +910,24 @@ def q_svm_run_results(spark, sf_dir):
     return rounded(evaluate.run_results(ml.ml_instances(data, ["LinearSVM"])))
 
 
+# Small trees: the registered queries show the path over the whole grid; production sizes are the registry's defaults.
+TREES = {"num_trees": 8, "max_depth": 6, "gbt_iter": 3, "gbt_depth": 3}
+
+
+@register("forest_run_results")
+def q_forest_run_results(spark, sf_dir):
+    """I7 + D14a: balanced random forests over the whole grid (rows-only check)."""
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
+    return rounded(evaluate.run_results(ml.ml_instances(data, ["RandomForest"], ml.model_registry(**TREES))))
+
+
+@register("gbt_run_results")
+def q_gbt_run_results(spark, sf_dir):
+    """I8: boosted trees over the whole grid (rows-only check)."""
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
+    return rounded(evaluate.run_results(ml.ml_instances(data, ["GBT"], ml.model_registry(**TREES))))
+
+
 STUB_SQL = " OR ".join(f"contains(lower(prompt), {S._sql_str(t.lower())})" for t in fixtures.TRIGGER_TERMS)
 
 
