@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -23,10 +24,11 @@ _SCRATCH: list[str] = []
 
 def materialize(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Cut lineage by a written table in the session's shared checkpoint folder."""
-    out = session.materialize(df, name)
+    path = session.shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     if scratch:
-        _SCRATCH.extend(x.rpartition("/")[0] for x in out.inputFiles()[:1])
-    return out
+        _SCRATCH.append(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
