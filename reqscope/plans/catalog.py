@@ -949,6 +949,68 @@ def q_batch_scoring_results(spark, sf_dir):
     return rounded(conf.select("dataset", *evaluate.metric_columns(), "tn", "fp", "fn", "tp", "n"))
 
 
+HITS_SQL = " + ".join(f"CAST(contains(lower(requirement_text), {S._sql_str(t.lower())}) AS INTEGER)" for t in fixtures.TRIGGER_TERMS)
+
+
+@register(
+    "logit_scoring_results",
+    f"""WITH {S.REQ},
+s AS (SELECT dataset, label, CASE WHEN {HITS_SQL} > 1 THEN 1 ELSE 0 END AS y_pred FROM req),
+c AS (SELECT dataset, {S.confusion_sql('label')}, count(*) AS n FROM s GROUP BY dataset)
+SELECT dataset, {S.metrics_sql()}, tn, fp, fn, tp, n FROM c""",
+)
+def q_logit_scoring_results(spark, sf_dir):
+    """I13 + L3 + H11: Arrow-batched logits of a pluggable classifier (deterministic stub), argmax, evaluated."""
+    req = fixtures.requirements(spark, sf_dir)
+    scored = scoring.predict_argmax(scoring.score_logits(req, ["dataset", "label"], "requirement_text"))
+    conf = evaluate.confusion(scored.withColumnRenamed("label", "y_true"), ["dataset"])
+    return rounded(conf.select("dataset", *evaluate.metric_columns(), "tn", "fp", "fn", "tp", "n"))
+
+
+# FIXED VALUES (fixture recipe): settings of the neural runs
+NEURAL_SETUP = {"epochs": 3, "learning_rate": 3e-05, "batch": 8, "max_length": 128}
+_RUN_ID = "concat_ws(':', model, {setting}, train_dataset, test_dataset, CAST(seed AS {text}))"
+
+
+@register(
+    "neural_run_records",
+    f"""WITH {S.RESULTS},
+lab AS (SELECT req_id, dataset, label FROM req),
+{S.seeds_sql()},
+lab_seeds AS (SELECT l.*, s.seed FROM lab l CROSS JOIN seeds s),
+{S.split_sql('lab_seeds', 0.2, '', 'split')},
+trainval AS (SELECT seed, dataset, req_id, label FROM split WHERE part = 'train'),
+{S.split_sql('trainval', 0.125, 'val', 'split2', test_name='val')},
+sizes AS (SELECT seed, dataset, CAST(count_if(part = 'train') AS BIGINT) AS n_train, CAST(count_if(part = 'val') AS BIGINT) AS n_val FROM split2 GROUP BY ALL),
+neural AS (SELECT * FROM results WHERE setting = 'intra' AND model IN {S.in_list(NEURAL)}),
+logs AS (SELECT {S.RUN_KEYS}, CAST(e.epoch AS INTEGER) AS epoch,
+                round(CAST(('x' || substr(md5(concat({_RUN_ID.format(setting='setting', text='VARCHAR')}, ':', CAST(e.epoch AS VARCHAR))), 1, 4))::BIT::BIGINT AS DOUBLE) / 65535.0, 6) AS val_f1
+         FROM neural CROSS JOIN range(1, {NEURAL_SETUP['epochs'] + 1}) e(epoch)),
+best AS (SELECT {S.RUN_KEYS}, min(CASE WHEN val_f1 = top THEN epoch END) AS best_epoch, max(val_f1) AS best_val_f1
+         FROM (SELECT *, max(val_f1) OVER (PARTITION BY {S.RUN_KEYS}) AS top FROM logs) GROUP BY ALL)
+SELECT {S.RUN_KEYS}, n_train, n_val, n_test, {NEURAL_SETUP['epochs']} AS epochs, CAST({NEURAL_SETUP['learning_rate']} AS DOUBLE) AS learning_rate,
+       {NEURAL_SETUP['batch']} AS train_batch_size, {NEURAL_SETUP['max_length']} AS max_length, best_epoch, best_val_f1, {S.round_cols(METRICS)}
+FROM neural JOIN best USING ({S.RUN_KEYS}) JOIN sizes s ON s.dataset = neural.train_dataset AND s.seed = neural.seed""",
+)
+def q_neural_run_records(spark, sf_dir):
+    """T2t: the run record of the neural models: split sizes, set-up, best epoch of the log, metrics (intra runs)."""
+    keys = evaluate.RUN_KEYS
+    runs = _results(spark, sf_dir, NEURAL).where(F.col("setting") == "intra")
+    sizes = split.train_val_test_split(_labelled(spark, sf_dir)).groupBy("dataset", "seed").agg(
+        F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "val").alias("n_val"))
+    run_id = F.expr(_RUN_ID.format(setting="setting", text="STRING"))
+    h = F.substring(F.md5(F.concat(run_id, F.lit(":"), F.col("epoch").cast("string"))), 1, 4)
+    log = runs.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(NEURAL_SETUP["epochs"]))).alias("epoch")).withColumn(
+        "val_f1", F.round(F.conv(h, 16, 10).cast("double") / 65535.0, 6))
+    best = training_log.best_checkpoint(log.withColumn("run_id", F.struct(*keys)), patience=NEURAL_SETUP["epochs"])
+    best = best.select("run_id.*", "best_epoch", "best_val_f1")
+    out = runs.join(best, keys).join(sizes.withColumnsRenamed({"dataset": "train_dataset"}), ["train_dataset", "seed"])
+    return rounded(out.select(
+        *keys, "n_train", "n_val", "n_test", F.lit(NEURAL_SETUP["epochs"]).alias("epochs"), F.lit(NEURAL_SETUP["learning_rate"]).alias("lr"),
+        F.lit(NEURAL_SETUP["batch"]).alias("train_batch_size"), F.lit(NEURAL_SETUP["max_length"]).alias("max_length"),
+        "best_epoch", "best_val_f1", *METRICS)).withColumn("learning_rate", F.lit(NEURAL_SETUP["learning_rate"])).drop("lr")
+
+
 @register("stream_run_results", ORACLE["run_results"])
 def q_stream_run_results(spark, sf_dir):
     """K1: running evaluation with Structured Streaming over arriving prediction files; equals the batch run_results."""
