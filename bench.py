@@ -31,6 +31,8 @@ HEADLINE = [
     "split_intra",
     "corpus_term_df",
     "nb_run_results",
+    "ml_nb_run_results",
+    "csv_round_trip",
     "stream_run_results",
 ]
 

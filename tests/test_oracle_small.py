@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents labels".split()
-SLOW = {"svm_run_results", "ml_nb_run_results", "stream_run_results"}
+SLOW = {"svm_run_results", "ml_nb_run_results", "stream_run_results", "pipeline"}
 
 
 def _norm(v):
@@ -44,5 +44,5 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_smoke(spark):
     df = entry.entry(spark)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+    assert df.count() == 60  # ten intra and ten cross runs, three text variants each
+    assert {"setting", "variant", "model", "seed", "f1", "tp"} <= set(df.columns)
