@@ -493,10 +493,11 @@ def q_metric_bars(spark, sf_dir):
 HEATMAP_CUTS = {**fixtures.CLASSICAL_CUTS, **fixtures.NEURAL_CUTS, "GBT": "3a"}
 
 
-def _pivot_sql():
-    names = [*[DISPLAY_NAME[m] for m in MODEL_ORDER], "GBT"]
+def _pivot_sql(cuts):
+    order = {m: i for i, m in enumerate(MODEL_ORDER)}
+    names = [DISPLAY_NAME.get(m, m) for m in sorted(cuts, key=lambda m: (order.get(m, len(order)), m))]
     cols = ", ".join(f"round(max(CASE WHEN model_display = {S._sql_str(n)} THEN f1 END), 6) AS \"{n}\"" for n in names)
-    return f"""WITH {S.INSTANCES.replace(S.grid_values(), S.grid_values(HEATMAP_CUTS))},
+    return f"""WITH {S.INSTANCES.replace(S.grid_values(), S.grid_values(cuts))},
 ex AS (SELECT {KEY4_SQL}, y_true, y_pred, unnest(list_distinct({S.parse_reasons_sql('reasons')})) AS reason
        FROM instances WHERE variant = 'original'),
 conf AS (SELECT {KEY4_SQL}, reason, {S.confusion_sql()}, count(*) AS n FROM ex GROUP BY ALL),
@@ -505,11 +506,18 @@ named AS (SELECT p.*, coalesce(md.display, p.model) AS model_display FROM perf p
 SELECT {KEY3_SQL}, reason, {cols} FROM named GROUP BY {KEY3_SQL}, reason"""
 
 
-@register("reason_heatmap", _pivot_sql())
-def q_reason_heatmap(spark, sf_dir):
-    """Reason x model F1 matrix per setting, over the models that are there."""
-    inst = ranking.original_only(fixtures.instances(spark, sf_dir, HEATMAP_CUTS))
-    return rounded(ranking.reason_pivot(evaluate.reason_performance(inst)))
+for _name, _cuts, _doc in [
+    ("reason_heatmap", HEATMAP_CUTS, "D12a/J6: reason x model F1 matrix per setting, over the models that are there."),
+    ("reason_heatmap_classical", fixtures.CLASSICAL_CUTS, "J6: the matrix of the classical family."),
+    ("reason_heatmap_neural", fixtures.NEURAL_CUTS, "J6: the matrix of the neural family."),
+]:
+    def _mk_map(cuts, doc):
+        def fn(spark, sf_dir):
+            inst = ranking.original_only(fixtures.instances(spark, sf_dir, cuts))
+            return rounded(ranking.reason_pivot(evaluate.reason_performance(inst)))
+        fn.__doc__ = doc
+        return fn
+    register(_name, _pivot_sql(_cuts))(_mk_map(_cuts, _doc))
 
 
 # ---------------------------------------------------------------- step 5: significance
