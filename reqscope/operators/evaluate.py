@@ -29,8 +29,8 @@ def with_metrics(conf: DataFrame, digits: int | None = None) -> DataFrame:
 
 def run_results(instances: DataFrame, keys=RUN_KEYS, digits: int | None = None) -> DataFrame:
     """One row per run with 7 metrics, confusion counts and ``n_test``."""
-    conf = confusion(instances, keys)
-    return conf.select(*keys, *metric_columns(digits), "tn", "fp", "fn", "tp", F.col("n").alias("n_test"))
+    conf = with_metrics(confusion(instances, keys), digits)
+    return conf.select(*keys, *METRICS, "tn", "fp", "fn", "tp", F.col("n").alias("n_test"))
 
 
 def confusion_cells(conf: DataFrame, keys) -> DataFrame:

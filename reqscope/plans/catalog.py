@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NULL_WORDS, char_len, word_len
+from ..functions.text import NULL_WORDS, char_len, safe_float, word_len
 from ..operators import profile
 from ..session import shared_path
 from ..sources import fixtures, labelled
@@ -48,13 +48,14 @@ def rounded(df: DataFrame) -> DataFrame:
 @register(
     "requirements_clean",
     f"""WITH {S.MESSY}
-SELECT dataset, coalesce(requirement_text, '') AS requirement_text, {S.clean_label_sql('label')} AS label, reasons, count(*) AS n
+SELECT dataset, coalesce(requirement_text, '') AS requirement_text, {S.clean_label_sql('label')} AS label,
+       {S.safe_float_sql('label')} AS label_value, reasons, count(*) AS n
 FROM messy GROUP BY ALL""",
 )
 def q_requirements_clean(spark, sf_dir):
-    """A3-A5: text and label normalisation of messy values (no CSV between, so null words are plain text)."""
-    df = labelled.normalise(fixtures.messy(spark, sf_dir), "messy")
-    return df.groupBy("dataset", "requirement_text", "label", "reasons").agg(F.count(F.lit(1)).alias("n"))
+    """Text and label normalisation of messy values (no CSV between, so null words are plain text)."""
+    df = labelled.normalise(fixtures.messy(spark, sf_dir).withColumn("label_value", safe_float("label")), "messy")
+    return df.groupBy("dataset", "requirement_text", "label", "label_value", "reasons").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _null_word_sql(x: str) -> str:

@@ -80,9 +80,13 @@ messy AS (
 )"""
 
 
+def safe_float_sql(x: str) -> str:
+    return (f"CASE WHEN regexp_matches({x}, '^[ \\t\\n\\r\\f\\x0b]*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r\\f\\x0b]*$') "
+            f"THEN CAST(trim({x}) AS DOUBLE) END")
+
+
 def clean_label_sql(x: str) -> str:
-    return (f"CAST(CASE WHEN regexp_matches({x}, '^[ \\t\\n\\r\\f\\x0b]*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r\\f\\x0b]*$') "
-            f"THEN trunc(CAST(trim({x}) AS DOUBLE)) ELSE 0 END AS BIGINT)")
+    return f"CAST(coalesce(trunc({safe_float_sql(x)}), 0) AS BIGINT)"
 
 
 REQ_PLAIN = f"""

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SEEDS, TRIGGER_TERMS
-from ..functions.text import trigger_hits
+from ..operators.lexicon import with_reasons
 from ..session import spread
 
 DATASET_EVEN, DATASET_ODD = "PURE", "UserStories"
@@ -114,8 +114,7 @@ def requirements(spark: SparkSession, sf_dir: str, label_sql: str = QUALITY_LABE
     base = requirements_plain(spark, sf_dir, label_sql).withColumn(
         "requirement_text", F.expr(injected_text_sql("req_id", "requirement_text"))
     )
-    hits = trigger_hits("requirement_text")
-    return base.withColumn("reasons", F.when(F.size(hits) > 0, F.array_join(hits, ",")))
+    return with_reasons(base)
 
 
 # Values as a hand-made CSV has them (the same text in both engines): null words, quotes, line ends, blanks around, repeated
