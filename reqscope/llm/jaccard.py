@@ -88,12 +88,17 @@ def min_hashes(sh: np.ndarray, sh_off: np.ndarray, count: int) -> np.ndarray:
     at = sh_off[full]
     base = (sh >> np.uint64(32)).astype(np.uint32)
     low = sh.astype(np.uint32)
+    x, y = np.empty_like(base), np.empty_like(base)
     rng = np.random.default_rng(20240229)
     for k in range(count):
         a, b, c = (int(x) for x in rng.integers(1, 1 << 32, 3))
-        x = (base * np.uint32(a | 1)) ^ (low * np.uint32(b | 1) + np.uint32(c))
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
+        np.multiply(base, np.uint32(a | 1), out=x)
+        np.multiply(low, np.uint32(b | 1), out=y)
+        np.add(y, np.uint32(c), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.right_shift(x, np.uint32(15), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint32(0x2C1B3C6D), out=x)
         out[full, k] = np.minimum.reduceat(x, at)
     return out
 
@@ -212,7 +217,9 @@ def jaccard_classes(docs: DataFrame, p: JaccardParams = JaccardParams(), doc_id:
 
     member = classes.select("rep", F.explode("bands").alias("band"))
     buckets = member.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").drop("last")
-    ties = member.join(buckets, "band").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
+    buckets = materialize(buckets, "buckets")
+    shared = maybe_in(member, F.col("band"), buckets.select("band")).where("maybe").drop("maybe")
+    ties = shared.join(buckets, "band").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v"))
     groups = materialize(components(ties), "groups")
     sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("size")), "sizes")
     buckets = max(1, -(-dealt_rows(sizes, p.block) // p.bucket))
