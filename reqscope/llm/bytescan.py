@@ -22,7 +22,7 @@ LOWER[65:91] += 32
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19  # a scan holds about fifty times as much for a moment
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -38,7 +38,7 @@ from .common import materialize
 
 @dataclass(frozen=True)
 class FtrlParams:
-    bits: int = 18  #: log2 of the number of hashed coordinates
+    bits: int = 17  #: log2 of the number of hashed coordinates
     alpha: float = 2.0
     beta: float = 1.0
     l1: float = 0.005
