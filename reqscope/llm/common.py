@@ -18,17 +18,26 @@ __all__ = ["block_pairs", "dealt_rows", "drop_scratch", "each_group", "fresh", "
 FILTER_WORDS = 1 << 18
 
 
+BATCH_ROWS = 2000
+
 #: Paths of the tables that :func:`materialize` wrote and :func:`drop_scratch` may delete.
 _SCRATCH: list[str] = []
 
 
 def materialize(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Cut lineage by a written table in the session's shared checkpoint folder."""
-    path = session.shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path, batch = session.shared_path(spark, f"{name}-{uuid.uuid4().hex}"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    # rows that a scan hands to Python at once: fewer than the default, since texts can be long
+    spark.conf.set(batch, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     if scratch:
         _SCRATCH.append(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan as B
+from .common import materialize
 
 
 @dataclass(frozen=True)
@@ -107,7 +108,7 @@ def references(docs: DataFrame, params: RuleParams = RuleParams(), lang: str = "
     """``(lang, classes array<double>, words array<binary>, shares array<double>)`` per language, and pooled."""
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     part = rows.mapInArrow(_partial_counts(params), "lang string, cls int, word binary, n long")
-    by_lang = part.groupBy("lang", "cls", "word").agg(F.sum("n").alias("n"))
+    by_lang = materialize(part.groupBy("lang", "cls", "word").agg(F.sum("n").alias("n")), "counts")  # read three times below
     both = by_lang.withColumn("lang", F.explode(F.array("lang", F.lit(POOLED)))).where("lang is not null")
     total = both.groupBy("lang", "cls", "word").agg(F.sum("n").alias("n"))
     classes = total.where("word is null").groupBy("lang").agg(
