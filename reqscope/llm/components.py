@@ -41,7 +41,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen = state
-        work = materialize(_small_star(_large_star(work).where("u <> v").distinct()).distinct(), "edges")
+        work = materialize(_small_star(_large_star(work)).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     # at the fixed point every edge leads from a node to its component's smallest node
