@@ -304,6 +304,22 @@ def test_op9_finds_near_lines(spark):
     assert out[1::2].mean() > 0.6
 
 
+def test_op9_finds_lines_at_the_threshold(spark):
+    """Recall at similarity 0.8, by line length: changed words stand anywhere in lines of random words."""
+    rng, rows, sizes = np.random.default_rng(13), [], (5, 10, 20, 60)
+    for n in sizes:
+        for _ in range(80):
+            words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(n)]
+            other = list(words)
+            for at in rng.choice(n, n // 5, replace=False):
+                other[at] = "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10)))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().sort_values("doc_id")
+    gone = out["n_removed"].to_numpy().reshape(len(sizes), 80, 2)
+    assert gone[:, :, 0].sum() == 0
+    assert (gone[:, :, 1].mean(axis=1) > 0.75).all()
+
+
 # ---------------------------------------------------------------- 10
 def test_op10_counts_equal_brute_force(spark, docs):
     out = run(spark, "op10_quality_rules").set_index("doc_id")
