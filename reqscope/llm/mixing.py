@@ -162,9 +162,18 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str | None = None,
         p: MixParams = MixParams(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as its rate rounded to the nearest number (half up)."""
-    key, rate = fresh(docs, "mix_key"), fresh(docs, "mix_rate")
-    rates = mixing_rates(docs, labels, weights, anchor, p, doc_id, text).where("rate >= 0.5")
-    joined = docs.withColumn(key, row_key(doc_id, text)).join(rates.select(F.col("nid").alias(key), F.col("rate").alias(rate)), key)
-    copies = F.sequence(F.lit(1), F.floor(F.col(rate) + 0.5).cast("int"))
-    return joined.withColumn(rate, F.explode(copies)).select(*docs.columns)
+    """The rows of ``docs``, each as often as its rate on average: ``floor(rate)`` copies, and one more
+    for the share of document numbers (by hash) that the fraction says.
+
+    With an anchor, documents that most likely are of its domain and whose rate rounds to one stay once.
+    """
+    key, n = fresh(docs, "mix_key"), fresh(docs, "mix_copies")
+    rates = mixing_rates(docs, labels, weights, anchor, p, doc_id, text)
+    draw = F.pmod(F.xxhash64("nid", F.lit(20240613)), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    if anchor:
+        held = (F.col(f"p_{anchor}") > 0.5) & (F.floor(F.col("rate") + 0.5) == 1)
+        copies = F.when(held, F.lit(1)).otherwise(copies)
+    rates = rates.select(F.col("nid").alias(key), copies.cast("int").alias(n)).where(F.col(n) > 0)
+    joined = docs.withColumn(key, row_key(doc_id, text)).join(rates, key)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

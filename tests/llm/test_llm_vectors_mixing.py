@@ -128,3 +128,25 @@ def test_op6_degenerate(spark):
     assert out["n_tokens"].sum() == 5
     assert mixing.mix(docs, none, {"a": 1.0, "b": 1.0}).count() == 5
     assert mixing.mixing_rates(docs.limit(0), none, {"a": 1.0, "b": 1.0}).count() == 0
+
+
+def test_mix_realises_the_fitted_tokens(spark):
+    """Domains with rates under one half keep the tokens that their rates say; before, they vanished."""
+    rng, rows, marks = np.random.default_rng(5), [], []
+    for domain, n in (("clean", 1200), ("low", 400), ("toxic", 400)):
+        own = [f"{domain}{k}" for k in range(20)]
+        for _ in range(n):
+            rows.append((len(rows), " ".join(rng.choice(own, 30))))
+            marks.append((len(marks), domain))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, domain string")
+    weights = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
+    rates = mixing.mixing_rates(docs, labels, weights, "clean").toPandas().set_index("nid")
+    got = mixing.mix(docs, labels, weights, "clean").toPandas()["doc_id"].value_counts()
+    domain = dict(marks)
+    for name, target in (("clean", 1200.0), ("low", 225.0), ("toxic", 75.0)):
+        ids = [k for k, d in domain.items() if d == name]
+        want, have = rates.loc[ids, "rate"].sum(), got.reindex(ids).fillna(0).sum()
+        print(name, "target", target, "rates", want, "realised", have)
+        assert abs(have - want) <= 0.15 * want + 5
+        assert abs(have - target) <= 0.2 * target + 10
