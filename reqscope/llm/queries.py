@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import centroids
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,12 @@ def op2_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neighbours
 
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after three rounds with 16 centroids."""
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_centroid_clustering"] = centroids.oracle_sql()
