@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids
+from . import centroids, manifest
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,16 @@ def op2_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof digest and verification of every document; a seventh claims one character more."""
+    out = manifest.document_manifest(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+ORACLE["op11_merkle_manifest"] = manifest.oracle_sql()
+
+
 @query
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and inertia of every vector after three rounds with 16 centroids."""
