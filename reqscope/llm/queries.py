@@ -133,3 +133,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_centroid_clustering"] = centroids.oracle_sql()
+
+
+@query
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, places of the base phrases, license labels and score of every document."""
+    from . import licenses
+
+    return licenses.license_labels(read(spark, sf_dir, "documents"))
