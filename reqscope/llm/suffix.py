@@ -50,6 +50,7 @@ class RepeatParams:
     gram: int = 32
     hot: int = 4096  #: kinds of runs in an anchor group above which its starts are counted as rows
     bucket: int = 20_000  #: runs per sorting task, about
+    starts: int = 200_000  #: string starts that a sorting task handles at once, plus one anchor group (at most ``hot`` runs)
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -201,7 +202,7 @@ def repeated_starts(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, leng
     order, common = suffix_sort(buf, starts[maybe], group[maybe], length)
     at = np.flatnonzero(common >= length)
     s = starts[maybe][order]
-    step = max(1, (1 << 24) // length)
+    step = max(1, (1 << 21) // length)
     for k in range(0, len(at), step):  # equal hashes count as equal strings only if the bytes agree
         part = at[k: k + step]
         bytes_at = np.arange(length)
@@ -212,7 +213,9 @@ def repeated_starts(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, leng
 
 
 def _sort_bucket(p: RepeatParams):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    none = pd.DataFrame({"doc": np.zeros(0, np.int64), "th": np.zeros(0, np.int64), "lo": np.zeros(0, np.int32), "hi": np.zeros(0, np.int32)})
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = pdf["bytes"].tolist()
         size = np.array([len(x) for x in raw], np.int64)
         base = np.cumsum(size) - size
@@ -225,7 +228,7 @@ def _sort_bucket(p: RepeatParams):
         group = B.mix(gram[which] + (off[which] - rank).astype(np.int64).view(np.uint64) * np.uint64(0x9E37))
         hit = np.flatnonzero(repeated_starts(buf, starts, group, p.length) & ~pdf["whole"].to_numpy()[which])
         if not len(hit):
-            return pd.DataFrame({"doc": [], "th": [], "lo": [], "hi": []})
+            return none
         new = np.ones(len(hit), bool)
         new[1:] = (which[hit][1:] != which[hit][:-1]) | (rank[hit][1:] != rank[hit][:-1] + 1)
         at = np.flatnonzero(new)
@@ -235,6 +238,16 @@ def _sort_bucket(p: RepeatParams):
             "doc": pdf["doc"].to_numpy()[w], "th": pdf["th"].to_numpy()[w],
             "lo": (pdf["lo"].to_numpy()[w] + rank[hit[at]]).astype(np.int32),
             "hi": (pdf["lo"].to_numpy()[w] + rank[hit[stop]]).astype(np.int32)})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Anchor groups in portions of about ``p.starts`` starts: the arrays of a portion do not grow with the bucket."""
+        pdf = pdf.sort_values("gram", kind="stable", ignore_index=True)
+        gram, n = pdf["gram"].to_numpy(), pdf["bytes"].str.len().to_numpy() - p.length + 1
+        first = np.r_[True, gram[1:] != gram[:-1]]
+        portion = (np.cumsum(n) - n)[first][np.cumsum(first) - 1] // p.starts  # by the starts before the group
+        cuts = np.flatnonzero(np.r_[True, portion[1:] != portion[:-1]])
+        return pd.concat([none, *(some(pdf.iloc[a:b]) for a, b in zip(cuts, np.append(cuts[1:], len(pdf))))], ignore_index=True)
+
     return run
 
 
