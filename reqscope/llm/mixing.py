@@ -9,9 +9,14 @@
 2. Every document gets a nonnegative rate ``r`` (expected copies). With shares
    ``A_k = sum(tokens * p_k * r) / sum(tokens)`` the rates minimise
    ``sum_k (A_k - target_k)^2 / base_k + mu * sum(tokens * (r - 1)^2) / sum(tokens)``
-   by projected gradient steps. A step needs the K shares only: one aggregate
-   over the documents, K numbers on the driver. The rate after t steps is one
-   column expression of the posteriors, so no step writes a table.
+   by projected gradient steps, the projection taken lazily: the unprojected rate
+   stays of the form ``1 - p . y``, so K numbers ``y`` and one short column
+   expression say all rates. A step needs the K shares only: one aggregate over
+   the documents, K numbers on the driver; no step writes a table.
+3. With ``exact``, Newton steps of K x K sums on the same form let ``mu`` go, so
+   that expected totals meet their targets and rates stay as near to 1 as that
+   allows. Without, ``mu`` stops short of targets that only documents of another
+   likely domain could give up tokens for.
 
 Targets are weights per domain; they are scaled so that the ``anchor`` domain
 keeps its expected tokens (or to the corpus total without an anchor).
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +46,11 @@ class MixParams:
     min_documents: int = 5  #: training documents that must hold a feature
     min_g2: float = 30.0
     alpha: float = 0.5
-    mu: float = 0.02
-    steps: int = 40
+    mu: float = 0.002
+    steps: int = 120
     tolerance: float = 1e-5
+    exact: float | None = None  #: largest relative miss of a target; with it, corrections follow the steps
+    corrections: int = 12
 
 
 #: Feature that every document has; it carries the prior and the token count.
@@ -113,31 +121,84 @@ def posteriors(docs: DataFrame, features: DataFrame, n_domains: int, doc_id: str
     return scaled.select("nid", "n_tokens", *[(F.col(f"e{k}") / total).alias(f"p{k}") for k in range(n_domains)])
 
 
-def fit_rates(members: DataFrame, weights: list[float], anchor: int | None = None, p: MixParams = MixParams()) -> tuple[Column, list[float], list[float]]:
-    """Rate column over ``members (n_tokens, p0, ...)``, the shares it gives and the target shares."""
-    ks = range(len(weights))
-    tokens = F.col("n_tokens").cast("double")
+@dataclass(frozen=True)
+class _Goal:
+    base: list[float]  #: shares at rate 1
+    target: list[float]
 
-    def shares(rate: Column) -> list[float]:
-        row = members.agg(F.sum(tokens).alias("t"), *[F.sum(tokens * F.col(f"p{k}") * rate).alias(f"a{k}") for k in ks]).first()
-        return [(row[f"a{k}"] or 0.0) / (row["t"] or 1.0) for k in ks]
 
-    rate = F.lit(1.0)
-    base = shares(rate)
+def _goal(base: list[float], weights: list[float], anchor: int | None) -> _Goal:
     scale = sum(weights) or 1.0
     target = [w / scale for w in weights]
     if anchor is not None and target[anchor] > 0:
         target = [t * base[anchor] / target[anchor] for t in target]
-    now, eta = base, 1.0 / (1.0 + p.mu)
+    return _Goal(base, target)
+
+
+def _rate(y: list[float]) -> Column:
+    """``max(0, 1 - p . y)``: every rate that the steps reach has this form, so the expression never grows."""
+    return F.greatest(F.lit(0.0), sum((F.col(f"p{k}") * F.lit(-float(v)) for k, v in enumerate(y)), F.lit(1.0)))
+
+
+def _shares(members: DataFrame, rate: Column, n: int) -> list[float]:
+    tokens = F.col("n_tokens").cast("double")
+    row = members.agg(F.sum(tokens).alias("t"), *[F.sum(tokens * F.col(f"p{k}") * rate).alias(f"a{k}") for k in range(n)]).first()
+    return [(row[f"a{k}"] or 0.0) / (row["t"] or 1.0) for k in range(n)]
+
+
+def _descend(members: DataFrame, weights: list[float], anchor: int | None, p: MixParams) -> tuple[list[float], list[float], _Goal]:
+    ks = range(len(weights))
+    y = [0.0 for _ in ks]
+    now = _shares(members, F.lit(1.0), len(weights))
+    goal, eta = _goal(now, weights, anchor), 1.0 / (1.0 + p.mu)
     for _ in range(p.steps):
-        pull = [(now[k] - target[k]) / base[k] if base[k] > 0 else 0.0 for k in ks]
-        # r <- max(0, r - eta * (p . pull + mu * (r - 1))); r stands once, so the expression grows by one term a step
-        step = sum((F.col(f"p{k}") * F.lit(eta * pull[k]) for k in ks), F.lit(-eta * p.mu))
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1.0 - eta * p.mu) - step)
-        before, now = now, shares(rate)
+        pull = [(now[k] - goal.target[k]) / goal.base[k] if goal.base[k] > 0 else 0.0 for k in ks]
+        # gradient step for z = 1 - p . y, of which the rate is the projection to r >= 0
+        y = [(1.0 - eta * p.mu) * y[k] + eta * pull[k] for k in ks]
+        before, now = now, _shares(members, _rate(y), len(weights))
         if max(abs(a - b) for a, b in zip(before, now)) < p.tolerance:
             break
-    return rate, now, target
+    return y, now, goal
+
+
+def fit_rates(members: DataFrame, weights: list[float], anchor: int | None = None, p: MixParams = MixParams()) -> tuple[Column, list[float], list[float]]:
+    """Rate column over ``members (n_tokens, p0, ...)``, the shares it gives and the target shares."""
+    y, now, goal = _descend(members, weights, anchor, p)
+    return _rate(y), now, goal.target
+
+
+def meet_targets(members: DataFrame, weights: list[float], anchor: int | None = None, p: MixParams = MixParams()) -> tuple[Column, list[float], list[float]]:
+    """As :func:`fit_rates`, then without the pull to 1: K x K Newton steps on the same form until each total is within ``exact`` of its target.
+
+    A step needs K sums and the K x K products of the posteriors over the documents of positive rate. A step that
+    does not come nearer is halved; targets out of reach leave the nearest rates found.
+    """
+    n, tokens, exact = len(weights), F.col("n_tokens").cast("double"), p.exact or 1e-6
+    y, now, goal = _descend(members, weights, anchor, p)
+    live = [k for k in range(n) if goal.base[k] > 0]
+
+    def miss(a: list[float]) -> float:
+        return max((abs(a[k] - goal.target[k]) / max(goal.target[k], 1e-9 + exact * goal.base[k]) for k in live), default=0.0)
+
+    total = (members.agg(F.sum(tokens)).first()[0] or 1.0) if live else 1.0
+    for _ in range(p.corrections):
+        if miss(now) <= exact:
+            break
+        active = _rate(y) > 0
+        row = members.agg(*[F.sum(F.when(active, tokens * F.col(f"p{i}") * F.col(f"p{j}"))).alias(f"h{i}_{j}") for i in live for j in live if i <= j]).first()
+        h = np.array([[(row[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in live] for i in live])
+        gap = np.array([now[k] - goal.target[k] for k in live])
+        move = np.linalg.lstsq(h + 1e-12 * np.eye(len(live)), gap, rcond=None)[0]
+        for halvings in range(6):
+            step = dict(zip(live, move * 0.5**halvings))
+            trial = [y[k] + float(step.get(k, 0.0)) for k in range(n)]
+            then = _shares(members, _rate(trial), n)
+            if miss(then) < miss(now):
+                break
+        else:
+            break
+        y, now = trial, then
+    return _rate(y), now, goal.target
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -156,7 +217,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     names = list(weights)
     features = fit_features(docs, labels, names, p, doc_id, text)
     members = materialize(posteriors(docs, features, len(names), doc_id, text), "members")
-    rate, _, _ = fit_rates(members, list(weights.values()), names.index(anchor) if anchor else None, p)
+    rate, _, _ = (fit_rates if p.exact is None else meet_targets)(members, list(weights.values()), names.index(anchor) if anchor else None, p)
     return members.select("nid", "n_tokens", *[F.col(f"p{k}").alias(f"p_{n}") for k, n in enumerate(names)], rate.alias("rate"))
 
 

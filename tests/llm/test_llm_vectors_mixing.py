@@ -112,6 +112,20 @@ def test_op6_query(spark):
     assert (good["rate"] >= 0.5).mean() > 0.97
 
 
+def test_op6_exact_totals(spark):
+    """With ``exact`` every expected total is within 1 % of its target, the anchor's tokens are kept, and rates are optimal for that."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = mixing.domain_labels(spark.read.parquet(f"{SF}/labels.parquet"))
+    out = mixing.mixing_rates(docs, labels, mixing.DOMAINS, "clean", mixing.MixParams(exact=0.002)).toPandas()
+    p, t, rate = out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), out["n_tokens"].to_numpy(float), out["rate"].to_numpy()
+    goal = np.array(list(mixing.DOMAINS.values())) * (t @ p)[0] / mixing.DOMAINS["clean"]
+    assert (rate >= 0).all()
+    assert np.allclose((t * rate) @ p, goal, rtol=0.01, atol=0)
+    live = rate > 0  # stationary: where positive, 1 - rate is linear in the posteriors
+    y, *_ = np.linalg.lstsq(p[live], 1 - rate[live], rcond=None)
+    assert np.allclose(np.maximum(0, 1 - p @ y), rate, atol=1e-6)
+
+
 def test_op6_plan_is_native(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = mixing.domain_labels(spark.read.parquet(f"{SF}/labels.parquet"))
