@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SEEDS
 from ..functions.text import trigger_hits
-from ..operators import features, lexicon, naive_bayes, split
+from ..operators import features, lexicon, linear_svm, naive_bayes, split
 from ..session import materialize as _materialize
 from ..sources.fixtures import DATASET_EVEN, DATASET_ODD
 
@@ -183,3 +183,19 @@ def nb_instances(data: ClassicalData, model: str = "MultinomialNB", with_text: b
     """I10-I12 for the naive Bayes model: prediction rows of the whole grid."""
     preds = naive_bayes.predict(_nb_scores_distinct(data), keys=("req_id", "variant"))
     return data.instances(preds, model, with_text)
+
+
+def svm_decisions(data: ClassicalData, **options) -> tuple[DataFrame, linear_svm.SvmModel]:
+    """Decision values (tset, req_id, variant) of every distinct text, and the model: one fit for all training sets."""
+    train = linear_svm.term_weights(data.rows, data.terms, data.vocab_sets, data.sets)
+    model = linear_svm.fit(data.rows, train, data.sets, **options)
+    keys = ("req_id", "variant")
+    x = linear_svm.term_weights(data.score_flags, data.terms_v, data.vocab_sets, data.sets, flag="use", keys=keys)
+    return linear_svm.decisions(data.score_flags, x, model, data.sets, keys=keys), model
+
+
+def svm_instances(data: ClassicalData, model: str = "LinearSVM", with_text: bool = False, **options) -> DataFrame:
+    """I10-I12 for the squared-hinge SVM: prediction rows of the whole grid; a decision of 0 is class 0."""
+    scored, _ = svm_decisions(data, **options)
+    preds = scored.select("tset", "req_id", "variant", (F.col("decision") > 0).cast("int").alias("y_pred"))
+    return data.instances(preds, model, with_text)
