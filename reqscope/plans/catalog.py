@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import NULL_WORDS, char_len, safe_float, word_len
+from ..functions.text import NULL_WORDS, char_len, percent_text, round2, safe_float, safe_name, word_len
 from ..operators import profile
-from ..session import shared_path
-from ..sources import fixtures, labelled
+from ..session import materialize, shared_path
+from ..sources import fixtures, labelled, results
 from . import sqlparts as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,19 @@ def q_csv_round_trip(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count_distinct("req_id").alias("n_ids"))
 
 
+@register(
+    "json_round_trip",
+    f"""WITH {S.REQ_PLAIN}
+SELECT req_id, dataset, requirement_text, label, CAST(NULL AS VARCHAR) AS reasons FROM req_plain""",
+)
+def q_json_round_trip(spark, sf_dir):
+    """Labelled rows without reasons saved as JSON, read, checked and normalised; the optional column is added."""
+    path = shared_path(spark, f"json-{uuid.uuid4().hex}")
+    labelled.save_table(fixtures.requirements_plain(spark, sf_dir).select("req_id", "dataset", "requirement_text", "label"), path, "json")
+    raw = spark.read.schema("req_id bigint, dataset string, requirement_text string, label string").json(path)
+    return labelled.normalise(raw, "json").select("req_id", "dataset", "requirement_text", "label", "reasons")
+
+
 @register(
     "text_lengths",
     f"""SELECT doc_id, CAST(length(text) AS INTEGER) AS char_len, CAST({S.word_len_sql('text')} AS INTEGER) AS word_len
@@ -105,6 +119,21 @@ def q_class_counts(spark, sf_dir):
     return rounded(profile.class_counts(fixtures.requirements_plain(spark, sf_dir)))
 
 
+@register(
+    "class_share_text",
+    f"""WITH {S.REQ_PLAIN},
+c AS (SELECT dataset, label, count(*) AS n, avg(length(requirement_text)) AS mean_chars FROM req_plain GROUP BY dataset, label),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY dataset) AS share FROM c)
+SELECT dataset, label, printf('%.2f%%', round_even(share * 100.0, 2)) AS share_text, round_even(mean_chars, 2) AS mean_chars FROM s""",
+)
+def q_class_share_text(spark, sf_dir):
+    """Class shares as percent text and mean length to two places, for a report."""
+    req = fixtures.requirements_plain(spark, sf_dir)
+    means = req.groupBy("dataset", "label").agg(F.avg(F.length("requirement_text")).alias("mean_chars"))
+    shares = profile.class_counts(req).join(means, ["dataset", "label"])
+    return shares.select("dataset", "label", percent_text("share").alias("share_text"), round2("mean_chars").alias("mean_chars"))
+
+
 EDA_SQL_BODY = f"""SELECT dataset, count(*) AS total, CAST(count_if(label = 0) AS BIGINT) AS clear_0, CAST(count_if(label = 1) AS BIGINT) AS ambiguous_1,
        round(count_if(label = 0) / count(*), 6) AS pct_clear, round(count_if(label = 1) / count(*), 6) AS pct_ambiguous,
        round(avg({S.word_len_sql('requirement_text')}), 6) AS avg_words, round(avg(length(requirement_text)), 6) AS avg_chars"""
@@ -292,6 +321,27 @@ def q_instances(spark, sf_dir):
     return fixtures.instances(spark, sf_dir).drop("text")
 
 
+STORED = [CLASSICAL[0], NEURAL[0]]
+
+
+@register(
+    "run_store_results",
+    f"WITH {S.RESULTS}\nSELECT {S.RUN_KEYS}, replace(model, '/', '_') AS file_name, {S.round_cols(METRICS)}, tn, fp, fn, tp, n_test FROM results\n"
+    f"WHERE model IN {S.in_list(STORED)} AND setting = 'intra'",
+)
+def q_run_store_results(spark, sf_dir):
+    """Runs saved per setting, one write that dies before its commit, one model's runs saved again; then a scan of some models."""
+    store = results.RunStore(spark, shared_path(spark, f"runs-{uuid.uuid4().hex}"))
+    runs = materialize(_results(spark, sf_dir, [*STORED, CLASSICAL[1]]), "runs")
+    spoilt = runs.where(F.col("model") == STORED[0]).withColumn("n_test", F.lit(0).cast("bigint"))
+    store.save(runs.where((F.col("setting") == "intra") & (F.col("model") != STORED[0])).unionByName(spoilt))
+    store.save(runs.where((F.col("setting") != "intra") & (F.col("model") != STORED[0])))
+    store.stage(runs.withColumn("n_test", F.lit(-1).cast("bigint")))  # no commit: nobody sees these rows
+    store.save(runs.where(F.col("model") == STORED[0]))
+    out = store.load(models=STORED, settings=["intra"])
+    return rounded(out.select(*evaluate.RUN_KEYS, safe_name("model").alias("file_name"), *METRICS, "tn", "fp", "fn", "tp", "n_test"))
+
+
 @register("run_results", f"WITH {S.RESULTS}\nSELECT {S.RUN_KEYS}, {S.round_cols(METRICS)}, tn, fp, fn, tp, n_test FROM results")
 def q_run_results(spark, sf_dir):
     """D3a confusion counts + D4a-g metrics per run."""
@@ -900,7 +950,7 @@ def q_verbaliser(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- steps 7-8: ML pipelines, batch scoring, streaming
-from ..operators import scoring  # noqa: E402
+from ..operators import boosting, scoring  # noqa: E402
 from ..streaming import running_eval  # noqa: E402
 from . import ml  # noqa: E402
 
@@ -937,6 +987,23 @@ def q_gbt_run_results(spark, sf_dir):
     return rounded(evaluate.run_results(ml.ml_instances(data, ["GBT"], ml.model_registry(**TREES))))
 
 
+# Fewer rounds at a greater rate, so that a local run ends; each tree has its model's full size. Production rounds are boosting.MODELS.
+@register("depthwise_boosting_results")
+def q_depthwise_boosting_results(spark, sf_dir):
+    """I8: depth-wise second-order boosting (XGBoost's rule) over the whole grid, all training sets in one run (rows-only check)."""
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
+    params = replace(boosting.MODELS["XGBoost"], rounds=3, rate=0.5)
+    return rounded(evaluate.run_results(classical.boosted_instances(data, "XGBoost", params)))
+
+
+@register("leafwise_boosting_results")
+def q_leafwise_boosting_results(spark, sf_dir):
+    """I8: leaf-wise second-order boosting (LightGBM's rule) over the whole grid, all training sets in one run (rows-only check)."""
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), materialize=True)
+    params = replace(boosting.MODELS["LightGBM"], rounds=1, rate=0.5)
+    return rounded(evaluate.run_results(classical.boosted_instances(data, "LightGBM", params)))
+
+
 STUB_SQL = " OR ".join(f"contains(lower(prompt), {S._sql_str(t.lower())})" for t in fixtures.TRIGGER_TERMS)
 
 

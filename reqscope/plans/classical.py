@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SEEDS
 from ..functions.text import trigger_hits
-from ..operators import features, lexicon, linear_svm, naive_bayes, split
+from ..operators import boosting, features, lexicon, linear_svm, naive_bayes, split
 from ..session import materialize as _materialize
 from ..sources.fixtures import DATASET_EVEN, DATASET_ODD
 
@@ -199,3 +199,21 @@ def svm_instances(data: ClassicalData, model: str = "LinearSVM", with_text: bool
     scored, _ = svm_decisions(data, **options)
     preds = scored.select("tset", "req_id", "variant", (F.col("decision") > 0).cast("int").alias("y_pred"))
     return data.instances(preds, model, with_text)
+
+
+def boosted_instances(data: ClassicalData, model: str, params: boosting.BoostParams | None = None, with_text: bool = False) -> DataFrame:
+    """I8 + I10-I12 for a boosted-tree model of :data:`boosting.MODELS`: all sets of the grid in one run.
+
+    The samples of a tree depend on the seed, so a set that serves several seeds (cross) is fitted for each.
+    """
+    seeds = F.array(*[F.lit(int(s)) for s in data.seeds])
+    own = F.split("tset", ":")[F.size(F.split("tset", ":")) - 1]
+    fits = F.when(own == "all", seeds).otherwise(F.array(own.try_cast("int")))
+    many = lambda df: df.withColumn("seed", F.explode(fits)).withColumn("tset", F.concat_ws("#", "tset", "seed"))
+    train = data.train.select("tset", "req_id", F.lit("original").alias("variant"), F.col("label").cast("double").alias("y"), F.lit(True).alias("train"))
+    score = data.score_rows.select("tset", "req_id", "variant", F.lit(None).cast("double").alias("y"), F.lit(False).alias("train"))
+    x = data.train_x().withColumn("variant", F.lit("original")).unionByName(data.test_x())
+    rows, _ = boosting.boost(many(train.unionByName(score)), many(x).drop("seed"), params or boosting.MODELS[model], ("req_id", "variant"), "seed")
+    preds = rows.where(~F.col("train")).select(
+        F.split("tset", "#")[0].alias("tset"), "req_id", "variant", "seed", (F.col("margin") > 0).cast("int").alias("y_pred"))
+    return data.instances(preds, model, with_text)

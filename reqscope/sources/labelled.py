@@ -94,11 +94,16 @@ def load_dataset(spark: SparkSession, path: str, name: str, fmt: str = "csv") ->
 
 
 def load_all_datasets(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> DataFrame:
-    """A2: all labelled sets as one table keyed by ``dataset``; rows are numbered across the sets unless all bring a ``req_id``."""
-    sets = [_tagged(spark, p, n, fmt) for n, p in paths.items()]
-    if all("req_id" in d.columns for d in sets):
-        return reduce(DataFrame.unionByName, sets)
-    return _numbered(reduce(DataFrame.unionByName, [d.drop("req_id") for d in sets]))
+    """A2: all labelled sets as one table keyed by ``dataset``; rows are numbered across the sets unless all bring a ``req_id``.
+
+    Where only some bring one, numbers given here could meet theirs: that is an error.
+    """
+    sets = {n: _tagged(spark, p, n, fmt) for n, p in paths.items()}
+    without = sorted(n for n, d in sets.items() if "req_id" not in d.columns)
+    if without and len(without) < len(sets):
+        raise MissingColumnsError(f"no column named req_id in {', '.join(without)}, but in the other labelled sets")
+    table = reduce(DataFrame.unionByName, sets.values())
+    return _numbered(table) if without else table
 
 
 def get_xy(df: DataFrame) -> DataFrame:

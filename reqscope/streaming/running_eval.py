@@ -72,6 +72,10 @@ def start(
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         metrics_snapshot(batch, keys).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        # a reader may still hold the snapshot before; older ones go
+        done = _finished(spark, out_path)
+        for old in sorted(done)[:-2]:
+            done[old].getFileSystem(spark._jsc.hadoopConfiguration()).delete(done[old], True)
 
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -86,11 +90,17 @@ def start(
         spark.conf.set(key, prev)
 
 
-def read_snapshot(spark: SparkSession, out_path: str) -> DataFrame:
-    """The newest finished snapshot (the one with the highest epoch and a success mark)."""
+def _finished(spark: SparkSession, out_path: str) -> dict:
+    """Epoch -> folder of the snapshots with a success mark."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch=*/_SUCCESS")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    epochs = [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
+    folders = [f.getPath().getParent() for f in found]
+    return {int(f.getName().partition("=")[2]): f for f in folders}
+
+
+def read_snapshot(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest finished snapshot (the one with the highest epoch and a success mark)."""
+    epochs = _finished(spark, out_path)
     if not epochs:
         raise FileNotFoundError(f"no finished snapshot under {out_path}")
     return spark.read.parquet(f"{out_path}/epoch={max(epochs)}")

@@ -1,8 +1,11 @@
 """CSV source: all-string scan, required columns, cleaning (A1-A5)."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from reqscope.sources.labelled import MissingColumnsError, load_all_datasets, load_dataset
+from reqscope.sources.results import RunStore
 
 
 def test_csv_load_and_clean(spark, tmp_path):
@@ -70,3 +73,31 @@ def test_sinks(spark, tmp_path):
         assert spark.read.option("header", True).format(fmt).load(str(tmp_path / fmt)).count() == 1
     save_table(df.select("t"), str(tmp_path / "text"), "text")
     assert spark.read.text(str(tmp_path / "text")).first()[0] == "a"
+
+
+def test_sets_with_and_without_numbers_are_an_error(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.createDataFrame([(7, "x", 1)], "req_id long, requirement_text string, label int").write.parquet(a)
+    spark.createDataFrame([("y", 0)], "requirement_text string, label int").write.parquet(b)
+    with pytest.raises(MissingColumnsError, match="req_id in B"):
+        load_all_datasets(spark, {"A": a, "B": b}, fmt="parquet")
+
+
+def test_run_store(spark, tmp_path):
+    """Whole runs only, newest commit wins, unlike names stay apart, two writers at one number get two."""
+    store = RunStore(spark, str(tmp_path / "runs"))
+    with pytest.raises(FileNotFoundError):
+        store.load()
+    kind = "setting string, variant string, train_dataset string, test_dataset string, model string, seed int, n long"
+    run = lambda model, n: spark.createDataFrame([("intra", "original", "A", "A", model, 1, x) for x in n], kind)
+    assert store.save(run("a/b", [1, 2]).unionByName(run("a_b", [3])).unionByName(run(None, [4]))) == 0
+    store.stage(run("a/b", [99]))  # dies before its commit
+    got = lambda **k: sorted((r["model"] or "", r["n"]) for r in store.load(**k).collect())
+    assert got() == [("", 4), ("a/b", 1), ("a/b", 2), ("a_b", 3)]
+    first, second = store.stage(run("a/b", [5])), store.stage(run(None, [6, 7]))
+    other = RunStore(spark, str(tmp_path / "runs"))
+    with ThreadPoolExecutor(2) as pool:
+        numbers = sorted(pool.map(lambda x: x[0].commit(x[1]), [(store, first), (other, second)]))
+    assert numbers == [1, 2]
+    assert got() == [("", 6), ("", 7), ("a/b", 5), ("a_b", 3)]
+    assert got(models=["a_b"], settings=["intra"]) == [("a_b", 3)] and got(settings=["cross"]) == []

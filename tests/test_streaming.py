@@ -21,6 +21,7 @@ def test_running_eval_state_partitions(spark, tmp_path):
     r = running_eval.read_snapshot(spark, out).first()
     assert (r["tp"], r["fn"], r["tn"], r["fp"], r["n_test"]) == (3, 1, 4, 1, 9)
     assert r["precision"] == 0.75 and r["recall"] == 0.75
+    assert len(list((tmp_path / "out").glob("epoch=*"))) <= 2  # older snapshots are gone
     with open(f"{ckpt}/offsets/0") as f:
         meta = json.loads(f.read().splitlines()[1])
     assert meta["conf"]["spark.sql.shuffle.partitions"] == "3"
