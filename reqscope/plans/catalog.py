@@ -87,7 +87,7 @@ def q_csv_round_trip(spark, sf_dir):
 @register(
     "json_round_trip",
     f"""WITH {S.REQ_PLAIN}
-SELECT req_id, dataset, requirement_text, label, CAST(NULL AS VARCHAR) AS reasons FROM req_plain""",
+SELECT req_id, dataset, requirement_text, CAST(label AS BIGINT) AS label, CAST(NULL AS VARCHAR) AS reasons FROM req_plain""",
 )
 def q_json_round_trip(spark, sf_dir):
     """Labelled rows without reasons saved as JSON, read, checked and normalised; the optional column is added."""
