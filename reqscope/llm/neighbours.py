@@ -22,8 +22,10 @@ joined with cells by cell number; nothing but the tree (whose size follows the
 sample's bound) and the directions is broadcast.
 
 Rows whose vector is null, zero, of another length than most, or with a null or
-non-finite component take no part. Ties go to the smaller number. Repeated rows
-are candidates each; a query does not meet rows of its own number. Fewer than k
+non-finite component take no part. Ties go to the smaller number. Rows are told apart by
+a number of their own, not by their id: repeated rows are candidates each, a
+query meets every row but its own (others of the same id too), and query rows
+that share an id have ``k`` neighbours each, ranked from 1. Fewer than k
 candidates give fewer rows; an empty table gives none.
 """
 
@@ -139,9 +141,9 @@ def _leaves(x: np.ndarray, leaf: int) -> list[np.ndarray]:
     return out
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, q_points: np.ndarray,
+def search(ids: np.ndarray, own: np.ndarray, vectors: np.ndarray, points: np.ndarray, q_own: np.ndarray, q_vectors: np.ndarray, q_points: np.ndarray,
            bound: np.ndarray, p: NearestParams) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Nearest rows of one task for each query; ``bound`` is the k-th distance known already (infinite if none)."""
+    """Nearest rows of one task for each query row; ``own`` numbers the rows, ``bound`` is the k-th distance known already (infinite if none)."""
     stop = chi2_at(p.confidence, p.m)
     leaves = _leaves(points, p.leaf)
     rows = np.concatenate(leaves)
@@ -149,14 +151,14 @@ def search(ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, q_ids: np.n
     low = np.array([points[r].min(axis=0) for r in leaves])
     high = np.array([points[r].max(axis=0) for r in leaves])
     out = []
-    for n in range(len(q_ids)):
+    for n in range(len(q_own)):
         reach = _box_distance2(q_points[n], low, high)
         order = np.argsort(reach, kind="stable")
         best_d, best_i, kth = np.zeros(0), np.zeros(0, np.int64), bound[n]
         at, step = 0, 1
         while at < len(order) and not reach[order[at]] > stop * kth * kth:
             part = np.concatenate([rows[first[b]: first[b + 1]] for b in order[at: at + step]])
-            part = part[ids[part] != q_ids[n]]
+            part = part[own[part] != q_own[n]]
             gap = vectors[part] - q_vectors[n]
             d = np.concatenate([best_d, np.sqrt((gap * gap).sum(axis=1))])
             i = np.concatenate([best_i, ids[part]])
@@ -204,31 +206,33 @@ def nearest(df: DataFrame, is_query: Column, p: NearestParams = NearestParams(),
             x = _matrix(batch.column("v"), dims)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t.cells_of(x @ d))], names=["vec_id", "v", "cell"])
 
-    index = materialize(rows.mapInArrow(locate, "vec_id long, v array<double>, cell long"), "index")
+    located = rows.mapInArrow(locate, "vec_id long, v array<double>, cell long")
+    index = materialize(located.withColumn("own", F.monotonically_increasing_id()), "index")  # written, so that the numbers stay
     tasks = materialize(index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2.0 * p.cell_rows)).cast("int").alias("tasks")), "cells")
-    dealt = index.join(tasks, "cell").withColumn("task", F.pmod(F.xxhash64("vec_id", F.hash("v")), F.col("tasks").cast("long")).cast("int"))
+    dealt = index.join(tasks, "cell").withColumn("task", F.pmod(F.xxhash64("own"), F.col("tasks").cast("long")).cast("int"))
     queries = index.where(is_query)
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"own": [], "query_id": [], "vec_id": [], "score": []})
         d, _ = shared.value
         v, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-        found = search(left["vec_id"].to_numpy(), v, v @ d, right["vec_id"].to_numpy(), q, q @ d, right["bound"].to_numpy(), p)
-        mine = right["vec_id"].to_numpy()
-        return pd.DataFrame({"query_id": np.concatenate([np.full(len(i), mine[n]) for n, i, _ in found]),
+        mine = right["own"].to_numpy()
+        found = search(left["vec_id"].to_numpy(), left["own"].to_numpy(), v, v @ d, mine, q, q @ d, right["bound"].to_numpy(), p)
+        at = np.concatenate([np.full(len(i), n) for n, i, _ in found])
+        return pd.DataFrame({"own": mine[at], "query_id": right["vec_id"].to_numpy()[at],
                              "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for _, _, s in found])})
 
     def visit(asked: DataFrame) -> DataFrame:
         spread = asked.join(tasks, "cell").select(  # aliases give the columns an identity of their own
-            *[F.col(c).alias(c) for c in ("vec_id", "v", "cell", "bound")], F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+            *[F.col(c).alias(c) for c in ("own", "vec_id", "v", "cell", "bound")], F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
         return dealt.groupBy("cell", "task").cogroup(spread.groupBy("cell", "task")).applyInPandas(
-            look, "query_id long, vec_id long, score double")
+            look, "own long, query_id long, vec_id long, score double")
 
-    ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    one = visit(queries.withColumn("bound", F.lit(float("inf"))).select("vec_id", "v", "cell", "bound"))
+    ranked = Window.partitionBy("own").orderBy("score", "vec_id")
+    one = visit(queries.withColumn("bound", F.lit(float("inf"))).select("own", "vec_id", "v", "cell", "bound"))
     one = materialize(one.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= p.k), "first_round")
-    bounds = one.groupBy(F.col("query_id").alias("vec_id")).agg(F.max(F.when(F.col("rank") == p.k, F.col("score"))).alias("bound"))
+    bounds = one.groupBy("own").agg(F.max(F.when(F.col("rank") == p.k, F.col("score"))).alias("bound"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, t = shared.value
@@ -244,11 +248,11 @@ def nearest(df: DataFrame, is_query: Column, p: NearestParams = NearestParams(),
                 cells.append(near)
             at = pa.array(np.concatenate(rows_at) if rows_at else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64)),
-                 batch.column("bound").take(at)], names=["vec_id", "v", "cell", "bound"])
+                [*[batch.column(c).take(at) for c in ("own", "vec_id", "v")], pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64)),
+                 batch.column("bound").take(at)], names=["own", "vec_id", "v", "cell", "bound"])
 
-    again = queries.join(bounds, "vec_id", "left").select("vec_id", "v", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    two = visit(again.mapInArrow(route, "vec_id long, v array<double>, cell long, bound double"))
-    both = one.select("query_id", "vec_id", "score").union(two)
+    again = queries.join(bounds, "own", "left").select("own", "vec_id", "v", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    two = visit(again.mapInArrow(route, "own long, vec_id long, v array<double>, cell long, bound double"))
+    both = one.select("own", "query_id", "vec_id", "score").union(two)
     return both.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= p.k).select(
         "query_id", "rank", "vec_id", "score")

@@ -63,6 +63,10 @@ def test_op2_few_and_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (1, [1.0, 3.0])], "vec_id long, embedding array<double>")
     out = neighbours.nearest(few, F.col("vec_id") % 100 == 0).toPandas()
     assert out["vec_id"].tolist() == [1, 1] and out["rank"].tolist() == [1, 2]
+    # two query rows of one number: each has neighbours of its own, the other one among them
+    twin = spark.createDataFrame([(0, [1.0, 2.0]), (0, [5.0, 5.0]), (1, [1.0, 3.0]), (2, [5.0, 6.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, neighbours.nearest(twin, F.col("vec_id") % 100 == 0).select("rank", "vec_id", F.round("score", 9)).collect()))
+    assert got == sorted([(1, 1, 1.0), (2, 0, 5.0), (3, 2, round(32 ** 0.5, 9)), (1, 2, 1.0), (2, 1, round(20 ** 0.5, 9)), (3, 0, 5.0)])
     assert neighbours.nearest(few.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     zero = spark.createDataFrame([(0, [0.0])], "vec_id long, embedding array<double>")
     assert neighbours.nearest(zero, F.col("vec_id") % 100 == 0).count() == 0
