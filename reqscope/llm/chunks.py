@@ -1,22 +1,23 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash runs over each text: ``h = (h << 1) + gear[byte]`` in 32
-bits, so that it depends on the last 32 bytes only. A chunk ends where the top
+A gear rolling hash runs over each text: ``h = (h << 2) + gear[byte]`` in 32
+bits, so that it depends on the last 16 bytes only. A chunk ends where the top
 ``mask_bits`` bits are zero, not before ``min_bytes`` and at ``max_bytes`` at
 the latest; cuts therefore move with the content, and an insertion changes the
 chunks around it and no others. A last chunk shorter than ``min_bytes`` joins
-the one before it.
+the one before it; a text shorter than that is one chunk.
 
 Chunks are deduplicated by a 128-bit digest over all documents: the first
 occurrence stays (smallest document number, then place), all later ones go. A
 64-bit part of the digest first sieves out the chunks that occur once, so that
 only repeated ones travel with their places. Runs of repeated chunks shorter than
-``min_run`` bytes stay: a short common line is no passage.
+``min_run`` bytes stay, since a short common line is no passage, unless the run
+is the whole document: a copied document goes however short it is.
 
-Texts shorter than ``min_bytes`` are no chunks and stay whole. Defined results:
-a null text is empty; equal rows lose all but one occurrence between them, rows
-that share number and text are cut alike, as one occurrence; empty tables give
-empty tables.
+Defined results: a null or empty text has no chunks; of documents with equal
+texts the smallest number keeps its chunks; rows that share both number and text
+(a null number counts as the text's hash) are one occurrence and are cut alike;
+empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from .common import fresh, materialize, maybe_in
 
 @dataclass(frozen=True)
 class ChunkParams:
-    mask_bits: int = 5  #: a cut every 32 bytes on average after the minimum
-    min_bytes: int = 32  #: not under the hash's window, so that no cut depends on the text before
+    mask_bits: int = 4  #: a cut every 16 bytes on average after the minimum
+    min_bytes: int = 16  #: not under the hash's window, so that no cut depends on the text before
     max_bytes: int = 1024
     min_run: int = 96
 
@@ -48,11 +49,11 @@ GEAR = np.random.default_rng(20231101).integers(0, 1 << 32, 256, dtype=np.uint32
 
 
 def gear_hash(buf: np.ndarray) -> np.ndarray:
-    """Rolling hash after each byte: the sum over the last 32 bytes of ``gear[byte] << age``, by doubling."""
+    """Rolling hash after each byte: the sum over the last 16 bytes of ``gear[byte] << 2 * age``, by doubling."""
     h, width = GEAR[buf], 1
-    while width < 32:
+    while width < 16:
         out = h.copy()
-        out[width:] += h[:-width] << np.uint32(width)
+        out[width:] += h[:-width] << np.uint32(2 * width)
         h, width = out, width * 2
     return h
 
@@ -64,7 +65,7 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, p: ChunkParams) -> Iterator[list[
     for d in range(len(offsets) - 1):
         base, n = int(offsets[d]), int(offsets[d + 1] - offsets[d])
         if n < p.min_bytes:
-            yield []
+            yield [n] if n else []
             continue
         own = mark[first[d]: first[d + 1]] - base
         ends, last = [], 0
@@ -140,7 +141,7 @@ def _cut(at: int, ends_at: int, gone_at: int, min_run: int):
                         runs[-1][1] = ends[k]
                     else:
                         runs.append([starts[k], ends[k]])
-                runs = [r for r in runs if r[1] - r[0] >= min_run]
+                runs = [r for r in runs if r[1] - r[0] >= min_run or r == [0, len(t)]]
                 edge = [0, *[x for r in runs for x in r], len(t)]
                 kept.append(b"".join(t[a:b] for a, b in zip(edge[::2], edge[1::2])))
                 n_bytes.append(len(t))
