@@ -122,7 +122,8 @@ def repeated_chunks(table: DataFrame) -> DataFrame:
                         ).select("doc", "th", "c.high", "c.low", "c.at")
     some = maybe_in(rows, F.col("high"), twice).where("maybe").drop("maybe")
     some = materialize(some.join(twice, "high"), "repeats")
-    kept = some.groupBy("high", "low").agg(F.min(F.struct("doc", "th", "at")).alias("kept"))
+    # written, so that the join has a plain exchange on both sides and the rows of a hot digest can be split
+    kept = materialize(some.groupBy("high", "low").agg(F.min(F.struct("doc", "th", "at")).alias("kept")), "kept")
     gone = some.join(kept, ["high", "low"]).where(F.struct("doc", "th", "at") != F.col("kept"))
     return materialize(gone.groupBy("doc", "th").agg(F.collect_list("at").alias("chunks")), "gone")
 
