@@ -950,7 +950,7 @@ def q_verbaliser(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- steps 7-8: ML pipelines, batch scoring, streaming
-from ..operators import boosting, scoring  # noqa: E402
+from ..operators import boosting, forest, scoring  # noqa: E402
 from ..streaming import running_eval  # noqa: E402
 from . import ml  # noqa: E402
 
@@ -1105,3 +1105,10 @@ def q_stream_run_results(spark, sf_dir):
                            state_partitions=min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     q.awaitTermination()
     return rounded(running_eval.read_snapshot(spark, f"{base}/out"))
+
+
+@register("deep_forest_results")
+def q_deep_forest_results(spark, sf_dir):
+    """I7 + D14a: forests of four trees, cut off at depth 4 so that a local run ends, with balanced weights, all training sets in one run (rows-only check)."""
+    data = classical.ClassicalData(_nb_requirements(spark, sf_dir), seeds=BOOST_SEEDS, materialize=True)
+    return rounded(evaluate.run_results(ml.forest_instances(data, params=forest.ForestParams(trees=4, max_depth=4))))

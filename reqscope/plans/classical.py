@@ -201,15 +201,20 @@ def svm_instances(data: ClassicalData, model: str = "LinearSVM", with_text: bool
     return data.instances(preds, model, with_text)
 
 
+def per_seed(data: ClassicalData):
+    """Copies a table of training sets for every seed that a set serves: its own, or all of them (cross); the set's name gets the seed."""
+    seeds = F.array(*[F.lit(int(s)) for s in data.seeds])
+    own = F.split("tset", ":")[F.size(F.split("tset", ":")) - 1]
+    fits = F.when(own == "all", seeds).otherwise(F.array(own.try_cast("int")))
+    return lambda df: df.withColumn("seed", F.explode(fits)).withColumn("tset", F.concat_ws("#", "tset", "seed"))
+
+
 def boosted_instances(data: ClassicalData, model: str, params: boosting.BoostParams | None = None, with_text: bool = False) -> DataFrame:
     """I8 + I10-I12 for a boosted-tree model of :data:`boosting.MODELS`: all sets of the grid in one run.
 
     The samples of a tree depend on the seed, so a set that serves several seeds (cross) is fitted for each.
     """
-    seeds = F.array(*[F.lit(int(s)) for s in data.seeds])
-    own = F.split("tset", ":")[F.size(F.split("tset", ":")) - 1]
-    fits = F.when(own == "all", seeds).otherwise(F.array(own.try_cast("int")))
-    many = lambda df: df.withColumn("seed", F.explode(fits)).withColumn("tset", F.concat_ws("#", "tset", "seed"))
+    many = per_seed(data)
     train = data.train.select("tset", "req_id", F.lit("original").alias("variant"), F.col("label").cast("double").alias("y"), F.lit(True).alias("train"))
     score = data.score_rows.select("tset", "req_id", "variant", F.lit(None).cast("double").alias("y"), F.lit(False).alias("train"))
     x = data.train_x().withColumn("variant", F.lit("original")).unionByName(data.test_x())
