@@ -71,14 +71,14 @@ loaded AS (SELECT dataset, coalesce({_null_word_sql('requirement_text')}, '') AS
 SELECT *, count(*) AS n, count(*) AS n_ids FROM loaded GROUP BY ALL""",
 )
 def q_csv_round_trip(spark, sf_dir):
-    """Messy rows written as CSV per set, loaded, cleaned and numbered; equal rows keep numbers of their own."""
+    """Messy rows written as CSV per set, loaded by byte ranges, cleaned and numbered; equal rows keep numbers of their own."""
     base = shared_path(spark, f"csv-{uuid.uuid4().hex}")
     raw = fixtures.messy(spark, sf_dir)
     paths = {}
     for name in (fixtures.DATASET_EVEN, fixtures.DATASET_ODD):
         paths[name] = f"{base}/{name}"
         labelled.save_table(raw.where(F.col("dataset") == name).drop("dataset"), paths[name], "csv")
-    df = labelled.load_all_datasets(spark, paths)
+    df = labelled.load_all_datasets(spark, paths, "quoted_csv")
     df = labelled.get_xy(df).join(df.select("req_id", "dataset", "reasons"), "req_id")
     return df.groupBy("dataset", "requirement_text", "label", "reasons").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("req_id").alias("n_ids"))

@@ -1,8 +1,9 @@
 """Labelled text sources: CSV/Parquet scans, column checks, type normalisation.
 
-CSV files with line ends inside quotes cannot be split: each is one task. That
-is right for hand-made files; big inputs belong in Parquet (``fmt="parquet"``),
-or in CSV without such line ends (``multiline=False``).
+With ``fmt="csv"`` a file is one task, as Spark cannot split CSV with line ends
+inside quotes. That is right for hand-made files and also takes stray quotes. Big
+files whose quotes are properly doubled are read in many tasks with
+``fmt="quoted_csv"`` (``quoted_csv.py``); Parquet is ``fmt="parquet"``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_label, csv_null, null_text
 from ..session import materialize
+from .quoted_csv import read_quoted_csv
 
 TEXT_COL, LABEL_COL, REASONS_COL = "requirement_text", "label", "reasons"
 
@@ -31,8 +33,11 @@ def assert_required_columns(df: DataFrame, name: str, required=(TEXT_COL, LABEL_
         raise MissingColumnsError(f"labelled set {name!r}: no column named {', '.join(missing)} among {', '.join(df.columns)}")
 
 
-def read_labelled_csv(spark: SparkSession, path: str, name: str, multiline: bool = True) -> DataFrame:
-    """A1: CSV scan, every column as STRING (no inference); a path that Spark does not find is an error."""
+def read_labelled_csv(spark: SparkSession, path: str, name: str, multiline: bool = True, splittable: bool = False) -> DataFrame:
+    """A1: CSV scan, every column as STRING (no inference); a path that Spark does not find is an error.
+
+    ``splittable`` reads a file in many tasks (doubled quotes required, see ``quoted_csv``).
+    """
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("mode", "PERMISSIVE")
     try:
         header = reader.csv(path).columns
@@ -40,8 +45,11 @@ def read_labelled_csv(spark: SparkSession, path: str, name: str, multiline: bool
         if "PATH_NOT_FOUND" not in str(e.getCondition() or e):
             raise
         raise FileNotFoundError(f"labelled set {name!r}: nothing to read at {path}") from e
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    df = reader.schema(schema).csv(path)
+    if splittable:
+        df = read_quoted_csv(spark, path, header)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
+        df = reader.schema(schema).csv(path)
     return df.select([csv_null(F.col(c)).alias(c) for c in df.columns])
 
 
@@ -72,7 +80,8 @@ def normalise(df: DataFrame, name: str, required=(TEXT_COL, LABEL_COL), missing_
 
 
 def _tagged(spark: SparkSession, path: str, name: str, fmt: str) -> DataFrame:
-    raw = read_labelled_csv(spark, path, name) if fmt == "csv" else spark.read.parquet(path)
+    csv = fmt in ("csv", "quoted_csv")
+    raw = read_labelled_csv(spark, path, name, splittable=fmt == "quoted_csv") if csv else spark.read.parquet(path)
     df = normalise(raw, name)
     own = [F.col("req_id").cast("bigint").alias("req_id")] if "req_id" in df.columns else []
     return df.select(*own, F.lit(name).alias("dataset"), TEXT_COL, LABEL_COL, REASONS_COL)
