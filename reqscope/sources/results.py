@@ -88,19 +88,30 @@ class RunStore:
         number = 0
         found = self._fs.globStatus(self._hadoop.Path(f"{self.path}/commits/*")) or []
         number = max((int(f.getPath().getName()) for f in found), default=-1) + 1
+        self._fs.mkdirs(self._hadoop.Path(f"{self.path}/commits"))
         while True:
             entry = self._hadoop.Path(f"{self.path}/commits/{number:09}")
-            try:
-                stream = self._fs.create(entry, False)
-            except Py4JJavaError:
-                if not self._fs.exists(entry):
-                    raise
+            stream = self._create(entry)
+            if stream is None:
                 number += 1  # another writer was first
                 continue
             stream.write(write.encode())
             stream.close()
             return number
 
+    def _create(self, entry):
+        """A stream to a new entry, or None where the entry exists."""
+        if self._fs.getUri().getScheme() == "file":
+            # Hadoop's local file system looks first and creates then; the operating system does both at once
+            new = self.spark._jvm.java.io.File(entry.toUri().getPath()).createNewFile()
+            return self._fs.create(entry, True) if new else None
+        try:
+            return self._fs.create(entry, False)
+        except Py4JJavaError:
+            if not self._fs.exists(entry):
+                raise
+            return None
+
     def save(self, df: DataFrame) -> int:
         """A10: the rows of finished runs; a run that is saved again is replaced as a whole."""
         return self.commit(self.stage(df))
