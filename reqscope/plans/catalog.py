@@ -951,7 +951,7 @@ def q_verbaliser(spark, sf_dir):
 
 # ---------------------------------------------------------------- steps 7-8: ML pipelines, batch scoring, streaming
 from ..operators import boosting, forest, scoring  # noqa: E402
-from ..streaming import running_eval  # noqa: E402
+from ..streaming import running_eval, stateful_eval  # noqa: E402
 from . import ml  # noqa: E402
 
 
@@ -1107,6 +1107,24 @@ def q_stream_run_results(spark, sf_dir):
     return rounded(running_eval.read_snapshot(spark, f"{base}/out"))
 
 
+@register("stateful_run_results", ORACLE["run_results"])
+def q_stateful_run_results(spark, sf_dir):
+    """K1: running evaluation with row-level state; files delivered twice, a repeated attempt and a restart change nothing."""
+    base = shared_path(spark, f"stateful-{uuid.uuid4().hex}")
+    src = f"{base}/in"
+    rows = fixtures.instances(spark, sf_dir).drop("text", "reasons").withColumn("attempt", F.lit(1).cast("bigint"))
+    rows.write.parquet(src)
+    first = rows.where(F.col("model") == CLASSICAL[0])
+    first.write.mode("append").parquet(src)  # delivered twice
+    run = lambda: stateful_eval.start(
+        spark, src, f"{base}/out", f"{base}/checkpoint", parts=4,
+        state_partitions=min(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).awaitTermination()
+    run()
+    first.withColumn("attempt", F.lit(2).cast("bigint")).write.mode("append").parquet(src)  # a repeated run, after a restart
+    run()
+    return rounded(stateful_eval.read_results(spark, f"{base}/out"))
+
+
 @register("deep_forest_results")
 def q_deep_forest_results(spark, sf_dir):
     """I7 + D14a: forests of four trees, cut off at depth 4 so that a local run ends, with balanced weights, all training sets in one run (rows-only check)."""
