@@ -950,7 +950,7 @@ def q_verbaliser(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- steps 7-8: ML pipelines, batch scoring, streaming
-from ..operators import boosting, forest, scoring  # noqa: E402
+from ..operators import boosting, encoder, forest, scoring  # noqa: E402
 from ..streaming import running_eval, stateful_eval  # noqa: E402
 from . import ml  # noqa: E402
 
@@ -1047,6 +1047,18 @@ def q_logit_scoring_results(spark, sf_dir):
     return rounded(conf.select("dataset", *evaluate.metric_columns(), "tn", "fp", "fn", "tp", "n"))
 
 
+@register("encoder_scoring_results")
+def q_encoder_scoring_results(spark, sf_dir):
+    """I13 + L3 + H11: a text encoder trained on four fifths of the rows scores all of them; metrics of seen and held-out rows (rows-only check)."""
+    req = _nb_requirements(spark, sf_dir).withColumn("held_out", F.crc32(F.col("req_id").cast("string")) % 5 == 0)
+    path = shared_path(spark, f"encoder-{uuid.uuid4().hex}")
+    encoder.train(req.where(~F.col("held_out")), "requirement_text", "label", path)
+    keys = ["dataset", "held_out"]
+    scored = scoring.predict_argmax(encoder.score_encoded(req, [*keys, "label"], "requirement_text", path))
+    conf = evaluate.confusion(scored.withColumnRenamed("label", "y_true"), keys)
+    return rounded(conf.select(*keys, *evaluate.metric_columns(), "tn", "fp", "fn", "tp", "n"))
+
+
 # FIXED VALUES (fixture recipe): settings of the neural runs
 NEURAL_SETUP = {"epochs": 3, "learning_rate": 3e-05, "batch": 8, "max_length": 128}
 _RUN_ID = "concat_ws(':', model, {setting}, train_dataset, test_dataset, CAST(seed AS {text}))"
