@@ -168,8 +168,9 @@ class ClassicalData:
 
 
 def _nb_scores_distinct(data: ClassicalData) -> DataFrame:
-    term_model, class_model = naive_bayes.fit(data.rows, data.terms, data.vocab_sets, data.sets, data.labels)
-    return naive_bayes.class_scores(data.score_flags, data.terms_v, term_model, class_model, data.sets, data.labels)
+    head = naive_bayes.frequent_terms(data.vocab_sets, data.sets)
+    term_model, class_model = naive_bayes.fit(data.rows, data.terms, data.vocab_sets, data.sets, data.labels, head=head)
+    return naive_bayes.class_scores(data.score_flags, data.terms_v, term_model, class_model, data.sets, data.labels, head=head)
 
 
 def nb_scores(data: ClassicalData) -> DataFrame:
