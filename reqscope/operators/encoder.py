@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MAX_BYTES = 256 << 20  # of all arrays together
+TASK_WORDS = 4_000_000  # that one task fits word vectors on, about
 _worker: dict = {}  # the model this Python worker has unpacked, by the call that shipped it
 
 
@@ -157,16 +158,24 @@ def positions(window: int, d: int, scale: float = 0.02) -> np.ndarray:
     return scale * np.where(np.arange(d) % 2 == 0, np.sin(angle), np.cos(angle))
 
 
+def tasks(n_words: int | None) -> int:
+    """Tasks that fit the word vectors: none has more words the more there are."""
+    return max(1, -(-(n_words or 0) // TASK_WORDS))
+
+
 def train(df: DataFrame, text: str, label: str, path: str, d: int = 32, window: int = 256, max_words: int = 20_000,
-          epochs: int = 1, partitions: int = 1, seed: int = 42) -> None:
+          epochs: int = 1, partitions: int | None = None, seed: int = 42) -> None:
     """Fit word vectors and head on the rows of ``df`` (labels 0 and 1) and write the model to ``path``.
 
+    Word vectors are fitted in ``partitions`` tasks, one for every ``TASK_WORDS`` words of the texts if not given.
     Of the vocabulary at most ``max_words`` words, by count, get a vector; words tied with the first word beyond stay out.
     """
     spark = df.sparkSession
     rows = materialize(df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label")), "encoder")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     counts = rows.select(F.explode(words).alias("w")).groupBy("w").count()
+    counts = materialize(counts, "encoder_words")
+    partitions = partitions or tasks(counts.agg(F.sum("count")).first()[0])
     top = [r["count"] for r in counts.orderBy(F.desc("count")).limit(max_words + 1).select("count").collect()]
     least = top[-1] + 1 if len(top) > max_words else 1
     listed, vectors = [], np.zeros((1, d))
