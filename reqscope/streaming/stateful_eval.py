@@ -157,6 +157,18 @@ def read_results(spark: SparkSession, out_path: str, keys=RUN_KEYS) -> DataFrame
     return last.select(*keys, *metric_columns(), *CELLS, F.col("n").alias("n_test"))
 
 
+PARTITION_ROWS = 4_000_000  # of a first delivery that one state partition takes, about
+
+
+def layout(rows: int, partitions: int) -> dict[str, int]:
+    """``parts`` and ``state_partitions`` of :func:`start` for a first delivery of ``rows`` rows; ``partitions`` are the least.
+
+    Neither a state partition's rows nor those of a part of the largest run grow with the delivery.
+    """
+    n = max(partitions, -(-rows // PARTITION_ROWS))
+    return {"parts": max(4, n // 2), "state_partitions": n}
+
+
 def start(
     spark: SparkSession, source_dir: str, out_path: str, checkpoint: str, keys=RUN_KEYS, schema: str = INSTANCE_SCHEMA,
     files_per_trigger: int | None = None, available_now: bool = True, state_partitions: int | None = None,
