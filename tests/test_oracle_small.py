@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents labels".split()
+TABLES = "documents labels embeddings".split()
 SLOW = {"svm_run_results", "ml_nb_run_results", "stream_run_results", "pipeline"}
 
 
